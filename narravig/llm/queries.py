@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narravig.llm import chunking, packing, readability, tokens
+from narravig.llm import canon, chunking, packing, readability, tokens
 from narravig.sources.tables import read
 
 
@@ -35,6 +35,36 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return _pieces(spark, sf).dropDuplicates(["field", "item_id", "pos", "piece"])
 
 
+def _typed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The typed values with their list, and the lists' entries."""
+
+    def of(rows: DataFrame, field: str, name: str, row_id: str, pos, value: str) -> DataFrame:
+        pos = F.col(pos) if isinstance(pos, str) else pos
+        return rows.select(
+            F.lit(field).alias("field"), F.lit(name).alias("list"), F.col(row_id).alias("row_id"), pos.cast("long").alias("pos"), F.col(value).alias("value")
+        )
+
+    drugs = read(spark, sf, "ai_extractions", "narrative_id", "extraction").select("narrative_id", F.posexplode("extraction.drugs").alias("i", "d"))
+    rows = (
+        of(read(spark, sf, "reports", "report_id", "line_no", "reaction"), "reaction", "reaction", "report_id", "line_no", "reaction")
+        .unionByName(of(read(spark, sf, "report_counts", "count_id", "term"), "term", "reaction", "count_id", F.lit(0), "term"))
+        .unionByName(of(drugs, "name", "drug", "narrative_id", "i", "d.name"))
+    )
+    entries = read(spark, sf, "reaction_lex", "term").select(F.lit("reaction").alias("list"), F.col("term").alias("canonical"))
+    entries = entries.unionByName(read(spark, sf, "drug_lex", "name").select(F.lit("drug").alias("list"), F.col("name").alias("canonical")))
+    return rows, entries
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return canon.resolve(*_typed(spark, sf))
+
+
+def p4_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """How many typed values of each field found an entry."""
+    found = canon.resolve(*_typed(spark, sf))
+    return found.groupBy("field").agg(F.count("*").alias("typed"), F.count_if(F.col("canonical") == "").alias("unmatched"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode(read(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -82,7 +112,7 @@ def p10_profile(spark: SparkSession, sf: str) -> DataFrame:
     return scored.groupBy("source").agg(F.count("*").alias("docs"), F.avg("score").alias("mean_score"), share(1), share(2), share(3))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p8_ids, p9_assignments, p9_fill, p10_found, p10_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_unmatched, p8_ids, p9_assignments, p9_fill, p10_found, p10_profile)}
 
 SQL = {
     "p1_found": """
