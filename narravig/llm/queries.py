@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narravig.llm import canon, chunking, packing, readability, tokens
+from narravig.llm import canon, chunking, packing, readability, sentences, tokens
 from narravig.sources.tables import read
 
 
@@ -65,6 +65,29 @@ def p4_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("field").agg(F.count("*").alias("typed"), F.count_if(F.col("canonical") == "").alias("unmatched"))
 
 
+def _prose(spark: SparkSession, sf: str) -> DataFrame:
+    labels = read(spark, sf, "drug_labels", "label_id", "lang", "layout", "adverse_reactions", "warnings").where("layout = 'prose'")
+    texts = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.get(F.col(f), 0).alias("text")) for f in ("adverse_reactions", "warnings"))))
+    return labels.select(F.col("label_id").alias("item_id"), "lang", texts.alias("t")).select("item_id", "lang", "t.field", "t.text")
+
+
+def _sentences(spark: SparkSession, sf: str, of_documents: bool) -> DataFrame:
+    prose, docs = _prose(spark, sf), read(spark, sf, "documents", "doc_id", "text", "lang")
+    learned = sentences.learn(prose.select("lang", "text").unionByName(docs.select("lang", "text")))
+    texts = docs.select(F.col("doc_id").alias("item_id"), "lang", F.lit("text").alias("field"), "text") if of_documents else prose
+    return sentences.split(texts, learned)
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = _sentences(spark, sf, False)
+    return found.select(F.col("item_id").alias("label_id"), "field", "start_at").distinct()
+
+
+def p7_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each sentence of each document starts and ends."""
+    return _sentences(spark, sf, True).select(F.col("item_id").alias("doc_id"), "lang", "start_at", "end_at").distinct()
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode(read(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -112,7 +135,7 @@ def p10_profile(spark: SparkSession, sf: str) -> DataFrame:
     return scored.groupBy("source").agg(F.count("*").alias("docs"), F.avg("score").alias("mean_score"), share(1), share(2), share(3))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_unmatched, p8_ids, p9_assignments, p9_fill, p10_found, p10_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_unmatched, p7_found, p7_documents, p8_ids, p9_assignments, p9_fill, p10_found, p10_profile)}
 
 SQL = {
     "p1_found": """
