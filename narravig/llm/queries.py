@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narravig.llm import canon, chunking, packing, readability, sentences, tokens
+from narravig.llm import canon, chunking, packing, pii, readability, sentences, tokens
 from narravig.sources.tables import read
 
 
@@ -35,6 +35,24 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return _pieces(spark, sf).dropDuplicates(["field", "item_id", "pos", "piece"])
 
 
+#: Key of the pseudonyms, unless the session sets its own.
+SECRET_CONF, SECRET = "spark.narravig.pseudonymKey", "narravig"
+
+
+def _mentions(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.found(read(spark, sf, "narratives", "narrative_id", "narrative"), "narrative_id", "narrative")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _mentions(spark, sf).select("narrative_id", "kind", "start_at").distinct()
+
+
+def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Every narrative with placeholders."""
+    secret = spark.conf.get(SECRET_CONF, SECRET)
+    return pii.redacted(read(spark, sf, "narratives", "narrative_id", "narrative"), "narrative_id", "narrative", secret)
+
+
 def _typed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The typed values with their list, and the lists' entries."""
 
@@ -135,7 +153,7 @@ def p10_profile(spark: SparkSession, sf: str) -> DataFrame:
     return scored.groupBy("source").agg(F.count("*").alias("docs"), F.avg("score").alias("mean_score"), share(1), share(2), share(3))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_unmatched, p7_found, p7_documents, p8_ids, p9_assignments, p9_fill, p10_found, p10_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_redacted, p4_found, p4_unmatched, p7_found, p7_documents, p8_ids, p9_assignments, p9_fill, p10_found, p10_profile)}
 
 SQL = {
     "p1_found": """
