@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from narravig import reference_queries, reference_sql
 from narravig.operators import nested, packed, units
 from narravig.sources.tables import read
 
@@ -96,6 +97,6 @@ QUERIES = {
         p2_found, p2_nodes, p2_broken, p2_drugs, p2_drug_reactions, p2_sections, p2_section_items, p2_label_openfda, p2_extracted,
         p5_found, p5_flags, p6_found, p6_doses,
     )
-}
+} | reference_queries.QUERIES
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(reference_sql.SQL)
