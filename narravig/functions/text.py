@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,22 @@ def slice_(text: Column, start: Column, end: Column) -> Column:
 def ascii_only(text: Column) -> Column:
     """Each other character replaced by a space; classes of all regex dialects agree on the rest."""
     return F.regexp_replace(text, r"[^\x09\x0a\x0d\x20-\x7e]", " ")
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once a row; inside lambdas a plain column would be computed again for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def filled(text: Column) -> Column:
+    """The text, or null if it is empty; ``text`` must be cheap, it is looked at twice."""
+    return F.when(text != "", text)
+
+
+def exploded(df: DataFrame, items: Column, alias: str, *keep, pos: str | None = None) -> DataFrame:
+    """``keep`` and one row an element that isn't null, as ``alias``, with its place if ``pos`` names it.
+
+    An inner explode would make the optimizer compute the array a second time, in a filter on its size below.
+    """
+    each = F.posexplode_outer(items).alias(pos, alias) if pos else F.explode_outer(items).alias(alias)
+    return df.select(*keep, each).where(F.col(alias).isNotNull())

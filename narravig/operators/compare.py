@@ -10,12 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narravig import lexicons as lex
+from narravig.functions.text import exploded
 from narravig.operators import match
-from narravig.operators.extract import entries
+from narravig.operators.extract import entries, literal
 
 TOP = 50
 HEADERS = tuple(h.lower() for h in lex.WARNING_HEADERS)
-COLUMNS = ("key", "reaction", "src", "ord", "severity", "onset", "outcome", "in_narrative", "found_in_label", "report_count", "sections", "drug")
+KIND = (
+    "array<struct<key:string,reaction:string,src:int,ord:bigint,severity:string,onset:string,outcome:string,in_narrative:boolean,"
+    "report_count:bigint,sections:array<string>,drug:string>>"
+)
 
 
 def _report(terms: Column, rule) -> Column:
@@ -34,7 +38,7 @@ def full(cases: DataFrame, reaction_lex: DataFrame) -> DataFrame:
     tag = lambda r: match.tags(r, F.col("raw_reactions"), F.col("raw_warnings"))
     none, unknown = F.lit(None).cast("string"), F.lit("unknown")
 
-    def row(src: int, at: Column, name: Column, count: Column, sections: Column, labelled: Column, told: Column | None = None) -> Column:
+    def row(src: int, at: Column, name: Column, count: Column, sections: Column, told: Column | None = None) -> Column:
         value = lambda f, other: told[f] if told is not None else other
         return F.struct(
             F.lower(F.trim(name)).alias("key"),
@@ -45,7 +49,6 @@ def full(cases: DataFrame, reaction_lex: DataFrame) -> DataFrame:
             value("onset", none).alias("onset"),
             value("outcome", unknown).alias("outcome"),
             F.lit(told is not None).alias("in_narrative"),
-            labelled.alias("found_in_label"),
             F.coalesce(count, F.lit(0)).cast("long").alias("report_count"),
             sections.alias("sections"),
             value("drug", none).alias("drug"),
@@ -55,7 +58,7 @@ def full(cases: DataFrame, reaction_lex: DataFrame) -> DataFrame:
         key = F.lower(F.trim(r["reaction"]))
         words = match.keywords(key, 3)
         hit = F.coalesce(_report(F.col("_terms"), lambda t: t["term"] == key), _report(F.col("_terms"), lambda t: match.all_in(words, t["term"])))
-        return row(1, r["ord"], r["reaction"], hit["cnt"], tag(r["reaction"]), F.size(tag(r["reaction"])) > 0, r)
+        return row(1, r["ord"], r["reaction"], hit["cnt"], tag(r["reaction"]), r)
 
     def item(x: Column, i: Column) -> Column:
         head = F.substring(x, F.lit(1), F.lit(60))
@@ -65,20 +68,20 @@ def full(cases: DataFrame, reaction_lex: DataFrame) -> DataFrame:
         hit = F.when(F.size(words) > 0, _report(F.col("_terms"), lambda t: match.all_in(words, t["term"])))
         warned = F.exists(F.col("sections"), lambda s: match.any_in(words, F.lower(s["body"])))
         tagged = F.when(F.coalesce(warned, F.lit(False)), F.array(F.lit("Adverse Reactions"), F.lit("Warning"))).otherwise(F.array(F.lit("Adverse Reactions")))
-        return row(2, i, name, hit["cnt"], tagged, F.lit(True))
+        return row(2, i, name, hit["cnt"], tagged)
 
     listed = entries(reaction_lex, "term") or []
     skip = set(HEADERS) | set(lex.EXCLUDED_TERMS)
-    literal = F.array(*(F.struct(F.lit(n).cast("long").alias("ord"), F.lit(t).alias("name")) for n, t in listed if t not in skip)) if listed else F.array().cast("array<struct<ord:bigint,name:string>>")
+    listed_terms = literal([(n, t) for n, t in listed if t not in skip])
     size = max((n for n, _ in listed), default=0) + 1
 
     def warned(s: Column, i: Column) -> Column:
-        hits = F.filter(literal, lambda x: F.contains(F.lower(s["body"]), x["name"]))
+        hits = F.filter(listed_terms, lambda x: F.contains(F.lower(s["body"]), x["name"]))
 
         def one(x: Column) -> Column:
             both = lambda t: F.contains(t["term"], x["name"]) | F.contains(x["name"], t["term"])
             hit = F.coalesce(_report(F.col("_terms"), lambda t: t["term"] == x["name"]), _report(F.col("_terms"), both))
-            return row(3, i * size + x["ord"], x["name"], hit["cnt"], F.array(F.lit("Warning")), F.lit(True))
+            return row(3, i.cast("long") * size + x["ord"], x["name"], hit["cnt"], F.array(F.lit("Warning")))
 
         return F.transform(hits, one)
 
@@ -88,14 +91,13 @@ def full(cases: DataFrame, reaction_lex: DataFrame) -> DataFrame:
         F.transform(F.filter("reactions", lambda r: ~F.lower(F.trim(r["reaction"])).isin(*HEADERS)), told),
         F.transform(F.filter("items", lambda x: ~F.lower(x).isin(*HEADERS)), item),
         F.flatten(F.transform("sections", warned)),
-        F.transform(top, lambda t: row(4, t["rank"], t["term"], t["cnt"], tag(t["term"]), F.size(tag(t["term"])) > 0)),
+        F.transform(top, lambda t: row(4, t["rank"], t["term"], t["cnt"], tag(t["term"]))),
     )
-    # one scan a source keeps the plan small; empty sources give no rows
-    rows = None
-    for source in sources:
-        part = cases.select("id", F.explode(source).alias("r")).select("id", "r.*")
-        rows = part if rows is None else rows.unionByName(part)
-    return merge(rows)
+    # all sources in one array: what they are made of is computed once
+    empty = F.array().cast(KIND)
+    rows = exploded(cases, F.concat(*(F.coalesce(x, empty) for x in sources)), "r", "id").select("id", "r.*")
+    # every source but a narrative's or a report's own term has sections, so having some is being in the label
+    return merge(rows.withColumn("found_in_label", F.size("sections") > 0))
 
 
 def merge(rows: DataFrame) -> DataFrame:

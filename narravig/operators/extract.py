@@ -6,12 +6,14 @@ shuffle. A list beyond LITERAL_ENTRIES goes through an Aho-Corasick automaton in
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narravig import lexicons as lex
 from narravig.functions.arrowmap import flat_map
-from narravig.functions.text import first, rx, slice_, strip
+from narravig.functions.text import filled, first, let, rx, slice_, strip
 
 LITERAL_ENTRIES = 2000
 
@@ -22,6 +24,11 @@ def entries(lexicon: DataFrame, name: str) -> list[tuple[int, str]] | None:
     return None if len(rows) > LITERAL_ENTRIES else sorted((r.ord, r.name) for r in rows)
 
 
+def literal(own: list[tuple[int, str]]) -> Column:
+    """The entries as one array; the optimizer folds the text into a constant, and building it is one call."""
+    return F.from_json(F.lit(json.dumps([{"ord": o, "name": n} for o, n in own])), "array<struct<ord:int,name:string>>")
+
+
 def occurring(df: DataFrame, text: str, lexicon: DataFrame, name: str, out: str) -> DataFrame:
     """``df`` with array ``out`` of (ord, name) of the entries that the text holds, in list order."""
     own = entries(lexicon, name)
@@ -29,9 +36,9 @@ def occurring(df: DataFrame, text: str, lexicon: DataFrame, name: str, out: str)
     if own is not None:
         if not own:
             return df.withColumn(out, F.array().cast(kind))
-        listed = F.array(*(F.struct(F.lit(o).cast("int").alias("ord"), F.lit(n).alias("name")) for o, n in own))
-        low = F.lower(F.col(text))
-        return df.withColumn("_low", low).withColumn(out, F.coalesce(F.filter(listed, lambda x: F.contains(F.col("_low"), x["name"])), F.array().cast(kind))).drop("_low")
+        listed = literal(own)
+        held = let(F.lower(F.col(text)), lambda low: F.filter(listed, lambda x: F.contains(low, x["name"])))
+        return df.withColumn(out, F.coalesce(held, F.array().cast(kind)))
     rows = [(r.ord, r.name) for r in lexicon.select("ord", F.lower(F.col(name)).alias("name")).where("name <> ''").toLocalIterator()]
     shared = df.sparkSession.sparkContext.broadcast(rows)
 
@@ -54,21 +61,38 @@ def occurring(df: DataFrame, text: str, lexicon: DataFrame, name: str, out: str)
     return flat_map(df, df.columns, make, f"{schema}, `{out}` {kind}")
 
 
-def drug_details(text: Column, low: Column, found: Column, tail: int) -> Column:
+def _window(text: Column, low: Column, found: Column, place, lead: int, tail: int) -> Column:
+    """(ord, name, start, ctx) of the entries, with the text around each one's place; none for a negative place."""
+    at = F.transform(found, lambda x: F.struct(x["ord"].alias("ord"), x["name"].alias("name"), place(low, x["name"]).alias("start")))
+    around = lambda x: F.when(x["start"] >= 0, slice_(text, x["start"] - lead, x["start"] + F.length(x["name"]) + tail))
+    return F.transform(at, lambda x: F.struct(x["ord"].alias("ord"), x["name"].alias("name"), x["start"].alias("start"), around(x).alias("ctx")))
+
+
+def _first_place(low: Column, name: Column) -> Column:
+    return F.position(name, low) - 1
+
+
+def _raw(x: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract(x["ctx"], rx(pattern, True), group)
+
+
+def drug_details(text: Column, found: Column, tail: int) -> Column:
     """Array of (ord, name, start, dose, route, indication) at each drug's first place."""
-    at = F.transform(found, lambda x: F.struct(x["ord"].alias("ord"), x["name"].alias("name"), (F.position(x["name"], low) - 1).alias("start")))
-    near = F.transform(at, lambda x: F.struct(x["ord"].alias("ord"), x["name"].alias("name"), x["start"].alias("start"), slice_(text, x["start"] - 10, x["start"] + F.length(x["name"]) + tail).alias("ctx")))
-    return F.transform(
+    near = let(F.lower(text), lambda low: _window(text, low, found, _first_place, 10, tail))
+    raw = F.transform(
         near,
         lambda x: F.struct(
-            x["ord"].alias("ord"),
-            x["name"].alias("name"),
-            x["start"].alias("start"),
-            first(x["ctx"], lex.DOSE).alias("dose"),
-            F.lower(first(x["ctx"], lex.ROUTE)).alias("route"),
-            strip(first(x["ctx"], lex.INDICATION, 1)).alias("indication"),
+            x["ord"].alias("ord"), x["name"].alias("name"), x["start"].alias("start"),
+            _raw(x, lex.DOSE).alias("dose"), F.lower(_raw(x, lex.ROUTE)).alias("route"), _raw(x, lex.INDICATION, 1).alias("indication"),
         ),
-    )
+    )
+    return F.transform(
+        raw,
+        lambda x: F.struct(
+            x["ord"].alias("ord"), x["name"].alias("name"), x["start"].alias("start"),
+            filled(x["dose"]).alias("dose"), filled(x["route"]).alias("route"), strip(filled(x["indication"])).alias("indication"),
+        ),
+    )
 
 
 def nearest(drugs: Column, start: Column) -> Column:
@@ -82,36 +106,46 @@ def _bounded(name: Column) -> Column:
     return F.concat(F.lit(r"(?U)(?<!\w)\Q"), name, F.lit(r"\E(?!\w)"))
 
 
-def reaction_details(text: Column, low: Column, found: Column, drugs: Column, bounded: bool) -> Column:
+def _reaction_fields(near: Column, drugs: Column, of_drugs=None, outcome: bool = True) -> Column:
+    """Severity, onset, outcome and nearest drug from each window; ``of_drugs`` narrows the drugs for a reaction."""
+    raw = F.transform(
+        near,
+        lambda x: F.struct(
+            x["ord"].alias("ord"), x["name"].alias("name"), x["start"].alias("start"), F.lower(_raw(x, lex.SEVERITY)).alias("severity"),
+            _raw(x, lex.ONSET, 1).alias("onset"), (F.lower(_raw(x, lex.OUTCOME)) if outcome else F.lit("")).alias("outcome"),
+        ),
+    )
+    return let(
+        drugs,
+        lambda known: F.transform(
+            raw,
+            lambda x: F.struct(
+                x["ord"].alias("ord"), x["name"].alias("reaction"), x["start"].alias("start"), filled(x["severity"]).alias("severity"),
+                strip(filled(x["onset"])).alias("onset"), F.coalesce(filled(x["outcome"]), F.lit("unknown")).alias("outcome"),
+                nearest(of_drugs(known, x) if of_drugs else known, x["start"]).alias("drug"),
+            ),
+        ),
+    )
+
+
+def reaction_details(text: Column, found: Column, drugs: Column, bounded: bool) -> Column:
     """Array of (ord, reaction, start, severity, onset, outcome, drug) at each reaction's first place.
 
     ``bounded`` asks for whole words and drops mentions after a negation or right behind an amount.
     """
-    if bounded:
-        found = F.filter(found, lambda x: F.regexp_like(low, _bounded(x["name"])))
-    place = (lambda x: F.length(F.split(low, _bounded(x["name"]))[0])) if bounded else (lambda x: F.position(x["name"], low) - 1)
-    at = F.transform(found, lambda x: F.struct(x["ord"].alias("ord"), x["name"].alias("name"), place(x).alias("start")))
-    if bounded:
-        cue = rx(rf"\b({lex.NEGATIONS})\b", True)
-        amount = lambda x: F.concat(F.lit(rx(lex.DOSE_BEFORE + r"\Q", True)), x["name"], F.lit(r"\E"))
-        at = F.filter(at, lambda x: ~F.regexp_like(slice_(text, x["start"] - 60, x["start"]), F.lit(cue)))
-        at = F.filter(at, lambda x: ~F.regexp_like(slice_(text, x["start"] - 40, x["start"] + F.length(x["name"]) + 40), amount(x)))
-    near = F.transform(
-        at,
-        lambda x: F.struct(x["ord"].alias("ord"), x["name"].alias("name"), x["start"].alias("start"), slice_(text, x["start"] - 30, x["start"] + F.length(x["name"]) + 80).alias("ctx")),
-    )
-    return F.transform(
-        near,
-        lambda x: F.struct(
-            x["ord"].alias("ord"),
-            x["name"].alias("reaction"),
-            x["start"].alias("start"),
-            F.lower(first(x["ctx"], lex.SEVERITY)).alias("severity"),
-            strip(first(x["ctx"], lex.ONSET, 1)).alias("onset"),
-            F.coalesce(F.lower(first(x["ctx"], lex.OUTCOME)), F.lit("unknown")).alias("outcome"),
-            nearest(drugs, x["start"]).alias("drug"),
-        ),
-    )
+    if not bounded:
+        return _reaction_fields(let(F.lower(text), lambda low: _window(text, low, found, _first_place, 30, 80)), drugs)
+    cue = F.lit(rx(rf"\b({lex.NEGATIONS})\b", True))
+    amount = lambda x: F.concat(F.lit(rx(lex.DOSE_BEFORE + r"\Q", True)), x["name"], F.lit(r"\E"))
+    place = lambda low, name: F.length(F.split(low, _bounded(name))[0])
+
+    def windows(low: Column) -> Column:
+        whole = F.filter(found, lambda x: F.regexp_like(low, _bounded(x["name"])))
+        near = _window(text, low, whole, place, 30, 80)
+        near = F.filter(near, lambda x: ~F.regexp_like(slice_(text, x["start"] - 60, x["start"]), cue))
+        return F.filter(near, lambda x: ~F.regexp_like(slice_(text, x["start"] - 40, x["start"] + F.length(x["name"]) + 40), amount(x)))
+
+    return _reaction_fields(let(F.lower(text), windows), drugs)
 
 
 def extract(df: DataFrame, text: str, drugs: DataFrame, reactions: DataFrame, negation_aware: bool) -> DataFrame:
@@ -122,13 +156,12 @@ def extract(df: DataFrame, text: str, drugs: DataFrame, reactions: DataFrame, ne
     """
     out = occurring(df, text, drugs, "name", "_drugs")
     out = occurring(out, text, reactions, "term", "_reactions")
-    t, low = F.col(text), F.col("_low")
-    out = out.withColumn("_low", F.lower(t))
-    out = out.withColumn("drugs", drug_details(t, low, F.col("_drugs"), 60 if negation_aware else 80))
+    t = F.col(text)
+    out = out.withColumn("drugs", drug_details(t, F.col("_drugs"), 60 if negation_aware else 80))
     if negation_aware:
         none = F.lit(None).cast("string")
         out = out.withColumn("drugs", F.transform("drugs", lambda d: d.withField("route", none).withField("indication", none)))
-    out = out.withColumn("reactions", reaction_details(t, low, F.col("_reactions"), F.col("drugs"), negation_aware))
+    out = out.withColumn("reactions", reaction_details(t, F.col("_reactions"), F.col("drugs"), negation_aware))
     return out.withColumns(
         {
             "age": first(t, lex.AGE, 1),
@@ -136,7 +169,7 @@ def extract(df: DataFrame, text: str, drugs: DataFrame, reactions: DataFrame, ne
             "causality": F.coalesce(F.lower(first(t, lex.CAUSALITY)), F.lit("unassessable")),
             "overall_severity": F.lower(first(t, lex.SEVERITY)),
         }
-    ).drop("_drugs", "_reactions", "_low")
+    ).drop("_drugs", "_reactions")
 
 
 def ner_extract(df: DataFrame, text: str, entities: str) -> DataFrame:
@@ -146,36 +179,21 @@ def ner_extract(df: DataFrame, text: str, entities: str) -> DataFrame:
     nearest preceding drug among those that came before it in the list.
     """
     t = F.col(text)
-    low = F.lower(t)
     word = lambda e: F.lower(F.trim(F.regexp_replace(e["word"], "^#+", "")))
-    sort = F.array_sort(F.transform(F.col(entities), lambda e: F.struct(e["seq"].alias("ord"), word(e).alias("name"), e["entity_group"].alias("kind"))))
-    sort = F.filter(sort, lambda e: F.length(e["name"]) >= 2)
-    is_drug = lambda e: F.regexp_like(e["kind"], F.lit("Chemical|Drug|DRUG|Medication"))
-    is_reaction = lambda e: ~is_drug(e) & F.regexp_like(e["kind"], F.lit("Disease|disorder|DISEASE|Symptom|Sign|ADR|Adverse"))
-
-    def distinct(items: Column) -> Column:
-        return F.filter(items, lambda e: ~F.exists(items, lambda f: (f["name"] == e["name"]) & (f["ord"] < e["ord"])))
-
-    out = df.withColumns({"_low": low, "_e": sort})
-    out = out.withColumns({"_d": distinct(F.filter("_e", is_drug)), "_r": distinct(F.filter("_e", is_reaction))})
-    out = out.withColumn("drugs", drug_details(t, F.col("_low"), F.col("_d"), 80))
-    out = out.withColumn("drugs", F.transform("drugs", lambda d: d.withField("indication", F.lit(None).cast("string"))))
-    at = F.transform("_r", lambda x: F.struct(x["ord"].alias("ord"), x["name"].alias("name"), (F.position(x["name"], F.col("_low")) - 1).alias("start")))
-    seen = lambda x: F.filter("drugs", lambda d: (d["ord"] < x["ord"]) & (d["start"] >= 0))
-    here = lambda x: F.when(x["start"] >= 0, slice_(t, x["start"] - 30, x["start"] + F.length(x["name"]) + 80))
-    out = out.withColumn("_a", at).withColumn(
-        "reactions",
-        F.transform(
-            "_a",
-            lambda x: F.struct(
-                x["ord"].alias("ord"),
-                x["name"].alias("reaction"),
-                x["start"].alias("start"),
-                F.lower(first(here(x), lex.SEVERITY)).alias("severity"),
-                strip(first(here(x), lex.ONSET, 1)).alias("onset"),
-                F.lit("unknown").alias("outcome"),
-                nearest(seen(x), x["start"]).alias("drug"),
-            ),
-        ),
+    kind = lambda e: (
+        F.when(F.regexp_like(e["kind"], F.lit("Chemical|Drug|DRUG|Medication")), "drug").when(
+            F.regexp_like(e["kind"], F.lit("Disease|disorder|DISEASE|Symptom|Sign|ADR|Adverse")), "reaction"
+        )
     )
-    return out.drop("_low", "_e", "_d", "_r", "_a")
+    read = F.transform(F.col(entities), lambda e: F.struct(e["seq"].alias("ord"), word(e).alias("name"), e["entity_group"].alias("kind")))
+    read = F.transform(F.array_sort(read), lambda e: F.struct(e["ord"].alias("ord"), e["name"].alias("name"), kind(e).alias("kind")))
+    kept = F.filter(read, lambda e: (F.length(e["name"]) >= 2) & e["kind"].isNotNull())
+    # the first of each (kind, name): a repeat is one that such an element precedes
+    once = let(kept, lambda all_: F.filter(all_, lambda e: ~F.exists(all_, lambda f: (f["name"] == e["name"]) & (f["kind"] == e["kind"]) & (f["ord"] < e["ord"]))))
+    own = lambda items, k: F.transform(F.filter(items, lambda e: e["kind"] == k), lambda e: F.struct(e["ord"].alias("ord"), e["name"].alias("name")))
+    out = df.withColumn("_e", once)
+    drugs = let(F.col("_e"), lambda e: drug_details(t, own(e, "drug"), 80))
+    out = out.withColumn("drugs", F.transform(drugs, lambda d: d.withField("indication", F.lit(None).cast("string"))))
+    near = let(F.lower(t), lambda low: _window(t, low, own(F.col("_e"), "reaction"), _first_place, 30, 80))
+    seen = lambda known, x: F.filter(known, lambda d: (d["ord"] < x["ord"]) & (d["start"] >= 0))
+    return out.withColumn("reactions", _reaction_fields(near, F.col("drugs"), seen, outcome=False)).drop("_e")

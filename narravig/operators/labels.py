@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narravig import lexicons as lex
-from narravig.functions.text import rx, strip
+from narravig.functions.text import exploded, rx, strip
 
 BRAND, GENERIC, SUBSTANCE = "brand_name", "generic_name", "substance_name"
 #: Ways in which a label may answer for a drug, the best first: (list of openfda, whole entry or part of it).
@@ -91,7 +91,7 @@ def items(text: Column) -> Column:
 
 def side_effects(labels: DataFrame, sections: DataFrame) -> DataFrame:
     """label_id, section, ord, label, text: cleaned reactions first, then the sections of the warnings."""
-    cleaned = labels.select("label_id", F.posexplode(items(element0("adverse_reactions"))).alias("ord", "text"))
+    cleaned = exploded(labels, items(element0("adverse_reactions")), "text", "label_id", pos="ord")
     cleaned = cleaned.select("label_id", F.lit("Adverse Reactions").alias("section"), "ord", F.lit(None).cast("string").alias("label"), "text")
     warned = sections.select("label_id", F.lit("Warnings").alias("section"), "ord", F.col("header").alias("label"), F.col("body").alias("text"))
     return cleaned.unionByName(warned)
@@ -133,5 +133,5 @@ def keyword_context(labels: DataFrame, keyword: str) -> DataFrame:
     """label_id, hit_no, context: the keyword with exactly 50 characters of its line on either side."""
     blob = F.lower(F.concat_ws(" ", *(F.array_join(F.col(c), " ") for c in ("adverse_reactions", "warnings", "warnings_and_precautions"))))
     hits = F.regexp_extract_all(blob, F.lit(rf"(?d).{{50}}{re.escape(keyword)}.{{50}}"), 0)
-    return labels.select("label_id", F.posexplode(hits).alias("hit_no", "context"))
+    return exploded(labels, hits, "context", "label_id", pos="hit_no")
 

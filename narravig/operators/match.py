@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from narravig.functions.text import let
+
 
 def keywords(term: Column, least: int, split: str = r"\s+") -> Column:
     return F.filter(F.split(F.lower(term), split), lambda w: F.length(w) > least)
@@ -50,13 +52,14 @@ def match_sections(reaction: Column, sections: Column, items: Column) -> tuple[C
 
 
 def tags(reaction: Column, raw_reactions: Column, raw_warnings: Column, split: str = r"\W+") -> Column:
-    """Which parts of a label name the reaction: the whole term, or all its words over four letters."""
+    """Which parts of a label (in small letters, null if missing) name the reaction: the whole term, or all its words over four letters."""
     term = F.lower(F.trim(reaction))
-    words = keywords(term, 4, split)
 
-    def named(blob: Column) -> Column:
-        low = F.lower(F.coalesce(blob, F.lit("")))
-        return F.contains(low, term) | ((F.size(words) > 0) & all_in(words, low))
+    def of(words: Column) -> Column:
+        def named(blob: Column) -> Column:
+            return F.contains(blob, term) | ((F.size(words) > 0) & all_in(words, blob))
+
+        return F.array_compact(F.array(F.when(named(raw_reactions), "Adverse Reactions"), F.when(named(raw_warnings), "Warning")))
 
-    made = F.array(F.when(named(raw_reactions), "Adverse Reactions"), F.when(named(raw_warnings), "Warning"))
-    return F.when(F.coalesce(term, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_compact(made))
+    made = let(keywords(term, 4, split), of)
+    return F.when(F.coalesce(term, F.lit("")) == "", F.array().cast("array<string>")).otherwise(made)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narravig.functions.text import ascii_only
+from narravig.functions.text import ascii_only, exploded
 from narravig.operators import compare, enginediff, extract, labels, match, reports
 
 EMPTY = "array<string>"
@@ -36,8 +36,8 @@ def label_parts(raw: DataFrame) -> DataFrame:
         "label_id",
         "items",
         F.coalesce("sections", F.array().cast("array<struct<header:string,body:string>>")).alias("sections"),
-        F.col("adverse_reactions_raw").alias("raw_reactions"),
-        F.col("warnings_raw").alias("raw_warnings"),
+        F.lower("adverse_reactions_raw").alias("raw_reactions"),
+        F.lower("warnings_raw").alias("raw_warnings"),
     )
 
 
@@ -96,7 +96,7 @@ def compare_engines(both: DataFrame) -> DataFrame:
 
 def report_match(told: DataFrame, counted: DataFrame) -> DataFrame:
     """narrative_id, ord, reaction, matched_term, report_count for the reactions of narratives with a drug."""
-    rows = told.where("drug_name IS NOT NULL").select("narrative_id", F.upper("drug_name").alias("drug_key"), F.explode("reactions").alias("r"))
+    rows = exploded(told.where("drug_name IS NOT NULL"), F.col("reactions"), "r", "narrative_id", F.upper("drug_name").alias("drug_key"))
     rows = rows.select("narrative_id", "drug_key", "r.ord", "r.reaction").distinct()
     words = match.keywords(F.replace(F.col("reaction"), F.lit("-"), F.lit(" ")), 3)
     return match.match_reports(rows, reports.by_term(counted), words)

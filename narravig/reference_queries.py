@@ -9,17 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narravig import lexicons as lex
-from narravig.functions.text import ascii_only, first, rx, strip
+from narravig.functions.text import ascii_only, exploded, first, let, rx, strip
 from narravig.operators import compare, deid, enginediff, extract, labels, match, reports, score
 from narravig.plans import analysis
-from narravig.sources.tables import read
+from narravig.sources.tables import read, spread
 
 LINK = "https://labels.example.org"
 TEXTS = tuple(f for f, _ in lex.SECTIONS)
 
 
 def _told(s: SparkSession, sf: str) -> DataFrame:
-    return analysis.narratives(read(s, sf, "narratives", "narrative_id", "drug_name", "engine", "narrative"), plain=True)
+    return analysis.narratives(spread(read(s, sf, "narratives", "narrative_id", "drug_name", "engine", "narrative")), plain=True)
 
 
 def _lexicons(s: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -32,7 +32,7 @@ def _extracted(s: SparkSession, sf: str, aware: bool) -> DataFrame:
 
 def _labels(s: SparkSession, sf: str) -> DataFrame:
     """Labels in ASCII; other fields of a label lend their text to its warnings, under headers, so that those have sections."""
-    raw = read(s, sf, "drug_labels", "label_id", "set_id", "openfda", *TEXTS)
+    raw = spread(read(s, sf, "drug_labels", "label_id", "set_id", "openfda", *TEXTS))
     at = lambda c: F.coalesce(F.get(F.col(c), 0), F.lit(""))
     built = F.concat(
         F.lit("Intro. Liver warning "), at("adverse_reactions"), F.lit(" Do not use with "), at("contraindications"), F.lit(" Liver warning "), at("warnings")
@@ -50,7 +50,7 @@ def deid_redact(s, sf):
 
 
 def deid_findings(s, sf):
-    found = deid.findings(_told(s, sf), "t").select("narrative_id", F.posexplode("findings").alias("hit_no", "f"))
+    found = exploded(deid.findings(_told(s, sf), "t"), F.col("findings"), "f", "narrative_id", pos="hit_no")
     return found.select("narrative_id", F.col("hit_no").cast("long"), "f.rule", "f.original", "f.label").distinct()
 
 
@@ -69,17 +69,17 @@ def collapse_ws(s, sf):
 
 
 def drug_mentions(s, sf):
-    rows = _extracted(s, sf, False).select("narrative_id", F.explode("drugs").alias("d"))
+    rows = exploded(_extracted(s, sf, False), F.col("drugs"), "d", "narrative_id")
     return rows.select("narrative_id", F.col("d.ord").cast("long").alias("ord"), "d.name", F.col("d.start").cast("long").alias("start"), "d.dose", "d.route", "d.indication").distinct()
 
 
 def drug_doses_aware(s, sf):
-    rows = _extracted(s, sf, True).select("narrative_id", F.explode("drugs").alias("d"))
+    rows = exploded(_extracted(s, sf, True), F.col("drugs"), "d", "narrative_id")
     return rows.select("narrative_id", "d.name", "d.dose").distinct()
 
 
 def _reactions(s, sf, aware):
-    rows = _extracted(s, sf, aware).select("narrative_id", F.explode("reactions").alias("r"))
+    rows = exploded(_extracted(s, sf, aware), F.col("reactions"), "r", "narrative_id")
     cols = (F.col(f"r.{c}") for c in ("reaction", "severity", "onset", "outcome", "drug"))
     return rows.select("narrative_id", F.col("r.ord").cast("long").alias("ord"), F.col("r.start").cast("long").alias("start"), *cols).distinct()
 
@@ -115,20 +115,20 @@ def extraction_notes(s, sf):
 
 
 def distinct_drugs(s, sf):
-    rows = _extracted(s, sf, False).select("narrative_id", F.explode("drugs").alias("d")).select("narrative_id", F.lower("d.name").alias("name"), "d.ord")
+    rows = exploded(_extracted(s, sf, False), F.col("drugs"), "d", "narrative_id").select("narrative_id", F.lower("d.name").alias("name"), "d.ord")
     return rows.groupBy("narrative_id", "name").agg(F.min("ord").cast("long").alias("first_ord"))
 
 
 def drug_headers(s, sf):
     """The first drug row of each narrative's reactions' drugs, with its dose and route."""
     x = _extracted(s, sf, False)
-    rows = x.select("narrative_id", F.explode("reactions").alias("r"), "drugs").where("r.drug IS NOT NULL")
+    rows = exploded(x, F.col("reactions"), "r", "narrative_id", "drugs").where("r.drug IS NOT NULL")
     d = F.filter("drugs", lambda d: F.lower(d["name"]) == F.lower(F.col("r.drug")))[0]
     return rows.select("narrative_id", F.col("r.drug").alias("drug"), d["dose"].alias("dose"), d["route"].alias("route")).distinct()
 
 
 def evidence_sentence(s, sf):
-    rows = _extracted(s, sf, False).select("narrative_id", "t", F.explode("reactions").alias("r"))
+    rows = exploded(_extracted(s, sf, False), F.col("reactions"), "r", "narrative_id", "t")
     parts = F.regexp_extract_all("t", F.lit(r"[^.!?]+[.!?]*"), 0)
     term = F.lower("r.reaction")
     hit = F.get(F.filter(parts, lambda p: F.contains(F.lower(p), term)), 0)
@@ -148,7 +148,7 @@ def report_top50(s, sf):
 def report_map(s, sf):
     rows = read(s, sf, "report_counts", "feed", "drug", "term", "cnt", "rank_no").where("term IS NOT NULL").distinct()
     rows = rows.select(F.concat_ws("|", "feed", "drug").alias("drug"), "term", "cnt", F.col("rank_no").cast("long").alias("rank"))
-    return reports.by_term(rows).select("drug", "term", "rank", "cnt")
+    return reports.by_term(rows).select("drug", "term", "rank", F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
 
 def _asked(s, sf):
@@ -168,7 +168,7 @@ def label_warning_sections(s, sf):
 
 
 def label_ar_items(s, sf):
-    rows = _labels(s, sf).select("label_id", F.posexplode(labels.items(labels.element0("adverse_reactions"))).alias("pos", "item"))
+    rows = exploded(_labels(s, sf), labels.items(labels.element0("adverse_reactions")), "item", "label_id", pos="pos")
     return rows.select("label_id", F.col("pos").cast("long"), "item").distinct()
 
 
@@ -205,7 +205,7 @@ def _cases(s, sf):
 
 
 def _checked(s, sf):
-    c = _cases(s, sf).select("id", "sections", "items", "raw_reactions", "raw_warnings", "label_id", F.explode("reactions").alias("r"))
+    c = exploded(_cases(s, sf), F.col("reactions"), "r", "id", "sections", "items", "raw_reactions", "raw_warnings", "label_id")
     return c.withColumns({"ord": F.col("r.ord").cast("long"), "reaction": F.col("r.reaction")})
 
 
@@ -228,7 +228,7 @@ def label_check_per_drug(s, sf):
     """Reactions against the label of the drug they are tied to; without a label they count as not found."""
     rows = _reactions(s, sf, False).select("narrative_id", "ord", "reaction", F.lower("drug").alias("drug"))
     raw = _labels(s, sf)
-    flat = labels.projection(raw).select("label_id", "adverse_reactions_raw", "warnings_raw")
+    flat = labels.projection(raw).select("label_id", *(F.lower(c).alias(c) for c in ("adverse_reactions_raw", "warnings_raw")))
     meant = labels.resolve(rows, "drug", raw).join(flat, "label_id").dropDuplicates(["drug"]).drop("label_id", "priority")
     tagged = match.tags(F.col("reaction"), F.col("adverse_reactions_raw"), F.col("warnings_raw"), r"\s+")
     return rows.join(meant, "drug", "left").select("narrative_id", "ord", "reaction", "drug", (F.size(tagged) > 0).alias("found")).distinct()
@@ -292,17 +292,17 @@ def engine_setdiff(s, sf):
 def engine_detail_gaps(s, sf):
     b = _both(s, sf).where("other IS NOT NULL")
     gaps = F.flatten(enginediff.detail_gaps(F.col("rules.reactions"), F.col("other.reactions")))
-    return b.select("id", F.explode(gaps).alias("g")).select("id", "g.*")
+    return exploded(b, gaps, "g", "id").select("id", "g.*")
 
 
 def engine_field_gaps(s, sf):
     b = _both(s, sf).where("other IS NOT NULL")
-    return b.select("id", F.explode(enginediff.field_gaps(F.col("rules"), F.col("other"), ("causality", "overall_severity"))).alias("g")).select("id", "g.*")
+    return exploded(b, enginediff.field_gaps(F.col("rules"), F.col("other"), ("causality", "overall_severity")), "g", "id").select("id", "g.*")
 
 
 def engine_patient_gaps(s, sf):
     b = _both(s, sf).where("other IS NOT NULL")
-    return b.select("id", F.explode(enginediff.field_gaps(F.col("rules"), F.col("other"), ("age", "sex", "relevant_history"))).alias("g")).select("id", "g.*")
+    return exploded(b, enginediff.field_gaps(F.col("rules"), F.col("other"), ("age", "sex", "relevant_history")), "g", "id").select("id", "g.*")
 
 
 def engine_diff_summary(s, sf):
@@ -328,15 +328,15 @@ def _entities(s, sf):
     told = _told(s, sf).dropDuplicates(["narrative_id"])
     drugs, reactions = _lexicons(s, sf)
     x = extract.occurring(extract.occurring(told, "t", drugs, "name", "d"), "t", reactions, "term", "r")
-    low = F.lower("t")
-    made = lambda items, kind: F.transform(items, lambda e: F.struct(F.position(e["name"], low).alias("at"), e["name"].alias("word"), F.lit(kind).alias("entity_group")))
-    rows = x.select("narrative_id", "t", F.array_sort(F.array_distinct(F.concat(made(F.col("d"), "Drug"), made(F.col("r"), "Disease")))).alias("e"))
+    made = lambda low, items, kind: F.transform(items, lambda e: F.struct(F.position(e["name"], low).alias("at"), e["name"].alias("word"), F.lit(kind).alias("entity_group")))
+    both = let(F.lower("t"), lambda low: F.concat(made(low, F.col("d"), "Drug"), made(low, F.col("r"), "Disease")))
+    rows = x.select("narrative_id", "t", F.array_sort(F.array_distinct(both)).alias("e"))
     marked = F.transform("e", lambda e, i: F.struct(i.alias("seq"), F.when(i % 3 == 2, F.concat(F.lit("##"), e["word"])).otherwise(e["word"]).alias("word"), e["entity_group"].alias("entity_group")))
     return rows.select("narrative_id", "t", marked.alias("entities"))
 
 
 def ner_extract(s, sf):
-    x = extract.ner_extract(_entities(s, sf), "t", "entities").select("narrative_id", F.explode("reactions").alias("r"))
+    x = exploded(extract.ner_extract(_entities(s, sf), "t", "entities"), F.col("reactions"), "r", "narrative_id")
     return x.select("narrative_id", "r.reaction", "r.severity", "r.onset", "r.outcome", "r.drug")
 
 
