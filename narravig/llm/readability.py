@@ -22,6 +22,8 @@ from narravig.functions.trees import BoostedRegressor
 
 #: Labelled passages used, at most, and resamples of each.
 PASSAGES, RESAMPLES, FOLDS = 2000, 8, 5
+#: Words kept with what they add, per process.
+CACHED = 200_000
 STRAY = re.compile(r"<[^<>]{0,20}>|[​-‏⁠﻿­]|[^\x00-ɏ‐-…]")
 WORD = re.compile(r"[A-Za-z][A-Za-z'’-]*")
 SENTENCE = re.compile(r"(?<=[.!?])[\s\"'”)]+|\n+")
@@ -38,35 +40,59 @@ def sentences(text: str) -> list[str]:
     return [s for s in SENTENCE.split(text) if WORD.search(s)]
 
 
-def _shares(words: list[str]) -> list[float]:
-    n = len(words)
-    low = [w.lower() for w in words]
-    sizes = np.array([len(w) for w in words])
-    syllables = np.array([max(1, len(VOWELS.findall(w[:-1] if w.endswith("e") else w))) for w in low])
-    return [
-        sizes.mean(),
-        (sizes >= 7).mean(),
-        (sizes >= 10).mean(),
-        (sizes >= 13).mean(),
-        syllables.mean(),
-        (syllables >= 3).mean(),
-        sum(w in PERSON for w in low) / n,
-        sum(w in GLUE for w in low) / n,
-        sum(w in COMPLEX for w in low) / n,
-        sum(w in PLAIN for w in low) / n,
-        sum(bool(LEARNED.search(w)) for w in low) / n,
-        sum(len(w) > 1 and w.isupper() for w in words) / n,
-    ]
+def _word(word: str) -> tuple[float, ...]:
+    """What one word adds to the shares of its sentence."""
+    low, size = word.lower(), len(word)
+    syllables = max(1, len(VOWELS.findall(word[:-1].lower() if word.endswith("e") else low)))
+    return (
+        size,
+        size >= 7,
+        size >= 10,
+        size >= 13,
+        syllables,
+        syllables >= 3,
+        low in PERSON,
+        low in GLUE,
+        low in COMPLEX,
+        low in PLAIN,
+        bool(LEARNED.search(low)),
+        size > 1 and word.isupper(),
+    )
+
+
+_WORDS: dict[str, tuple[float, ...]] = {}
 
 
 def tables(parts: list[str]) -> tuple[np.ndarray, list[set[str]]]:
-    """A row of shares, size and commas for each sentence, and its words."""
-    each, bags = [], []
+    """A row of shares, size and commas for each sentence, and its words.
+
+    A word is looked at once a process; after CACHED of them new ones are looked at each time.
+    """
+    rows, bags, sizes, extra = [], [], [], []
     for s in parts:
         words = WORD.findall(s)
-        each.append([*_shares(words), float(len(words)), s.count(",") / len(words), sum(c.isdigit() for c in s) / len(words)])
+        for w in words:
+            row = _WORDS.get(w)
+            if row is None:
+                row = _word(w)
+                if len(_WORDS) < CACHED:
+                    _WORDS[w] = row
+            rows.append(row)
+        n = len(words)
+        sizes.append(n)
+        extra.append((float(n), s.count(",") / n, sum(map(s.count, "0123456789")) / n))
         bags.append({w.lower() for w in words} - PLAIN)
-    return np.array(each), bags
+    sums = np.add.reduceat(np.array(rows, dtype=float), np.cumsum([0, *sizes[:-1]]), axis=0)
+    return np.concatenate([sums / np.array(sizes, dtype=float)[:, None], np.array(extra)], axis=1), bags
+
+
+def _quantiles(x: np.ndarray, q: list[float]) -> np.ndarray:
+    """Quantiles by linear interpolation along the first axis."""
+    x = np.sort(x, axis=0)
+    at = np.array(q) * (len(x) - 1)
+    low = at.astype(int)
+    part = (at - low).reshape(-1, *(1,) * (x.ndim - 1))
+    return x[low] * (1 - part) + x[np.minimum(low + 1, len(x) - 1)] * part
 
 
 def features(parts: list[str], table: np.ndarray, bags: list[set[str]], scores: np.ndarray) -> list[float]:
@@ -77,16 +103,16 @@ def features(parts: list[str], table: np.ndarray, bags: list[set[str]], scores:
     text = " ".join(parts)
     types = len(set().union(*bags))
     overlap = [len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(bags, bags[1:])] or [0.0]
-    marks = [text.count(c) / n for c in ",;:()%/<>"] + [sum(c.isdigit() for c in text) / n]
+    marks = [text.count(c) / n for c in ",;:()%/<>"] + [sum(map(text.count, "0123456789")) / n]
     return [
-        *np.quantile(scores, [0.25, 0.4, 0.5, 0.6, 0.75]),
+        *_quantiles(scores, [0.25, 0.4, 0.5, 0.6, 0.75]),
         scores.mean(),
         (scores * sizes).sum() / n,
         (scores < 1.5).mean(),
         (scores > 2.5).mean(),
         *whole,
-        *np.quantile(table[:, [0, 1, 4, 6, 9]], [0.25, 0.5, 0.75], axis=0).ravel(),
-        *np.quantile(sizes, [0.2, 0.5, 0.8]),
+        *_quantiles(table[:, [0, 1, 4, 6, 9]], [0.25, 0.5, 0.75]).ravel(),
+        *_quantiles(sizes, [0.2, 0.5, 0.8]),
         types / n**0.5,
         float(np.mean(overlap)),
         *marks,
