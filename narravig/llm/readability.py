@@ -24,6 +24,7 @@ from narravig.functions.trees import BoostedRegressor
 PASSAGES, RESAMPLES, FOLDS = 2000, 8, 5
 #: Words kept with what they add, per process.
 CACHED = 200_000
+TOGETHER = 256
 STRAY = re.compile(r"<[^<>]{0,20}>|[​-‏⁠﻿­]|[^\x00-ɏ‐-…]")
 WORD = re.compile(r"[A-Za-z][A-Za-z'’-]*")
 SENTENCE = re.compile(r"(?<=[.!?])[\s\"'”)]+|\n+")
@@ -180,7 +181,10 @@ class Model:
         return self.bands[np.searchsorted(self.borders, score, side="right")]
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        """Calibrated scores; nan where a text has no words."""
+        """Calibrated scores; nan where a text has no words. TOGETHER texts at a time are held as tables."""
+        return np.concatenate([self._score(texts[i : i + TOGETHER]) for i in range(0, len(texts), TOGETHER)] or [np.zeros(0)])
+
+    def _score(self, texts: list[str | None]) -> np.ndarray:
         out = np.full(len(texts), np.nan)
         cut, at = [], []
         for i, t in enumerate(texts):
