@@ -1,6 +1,8 @@
 """Queries of the narrative, label, report and comparison operators, each with SQL for another engine.
 
-Texts are first mapped to ASCII, where the regex dialects agree; Unicode is covered by unit tests.
+Texts are first mapped to ASCII, where the regex dialects agree; Unicode is covered by unit tests. The SQL also rewrites
+the warnings of two labels in three, so that they have sections. The queries named ``..._stored`` run over the labels as
+they are and have no SQL.
 """
 
 from __future__ import annotations
@@ -30,14 +32,15 @@ def _extracted(s: SparkSession, sf: str, aware: bool) -> DataFrame:
     return extract.extract(_told(s, sf), "t", *_lexicons(s, sf), aware)
 
 
-def _labels(s: SparkSession, sf: str) -> DataFrame:
-    """Labels in ASCII; other fields of a label lend their text to its warnings, under headers, so that those have sections."""
+def _labels(s: SparkSession, sf: str, stored: bool = False) -> DataFrame:
+    """Labels in ASCII. Unless ``stored``, other fields lend their text to two thirds of the warnings, under headers, as the SQL has it."""
     raw = spread(read(s, sf, "drug_labels", "label_id", "set_id", "openfda", *TEXTS))
     at = lambda c: F.coalesce(F.get(F.col(c), 0), F.lit(""))
     built = F.concat(
         F.lit("Intro. Liver warning "), at("adverse_reactions"), F.lit(" Do not use with "), at("contraindications"), F.lit(" Liver warning "), at("warnings")
     )
-    raw = raw.withColumn("warnings", F.when(F.col("label_id") % 3 != 0, F.array(built)).otherwise(F.col("warnings")))
+    if not stored:
+        raw = raw.withColumn("warnings", F.when(F.col("label_id") % 3 != 0, F.array(built)).otherwise(F.col("warnings")))
     return raw.withColumns({c: F.transform(c, ascii_only) for c in TEXTS})
 
 
@@ -155,104 +158,104 @@ def _asked(s, sf):
     return read(s, sf, "narratives", "drug_name").where("drug_name IS NOT NULL")
 
 
-def label_resolve(s, sf):
-    return labels.resolve(_asked(s, sf), "drug_name", _labels(s, sf)).withColumn("priority", F.col("priority").cast("long"))
+def label_resolve(s, sf, stored=False):
+    return labels.resolve(_asked(s, sf), "drug_name", _labels(s, sf, stored=stored)).withColumn("priority", F.col("priority").cast("long"))
 
 
-def label_resolve_two_steps(s, sf):
-    return labels.resolve(_asked(s, sf), "drug_name", _labels(s, sf), labels.TWO_STEPS).withColumn("priority", F.col("priority").cast("long"))
+def label_resolve_two_steps(s, sf, stored=False):
+    return labels.resolve(_asked(s, sf), "drug_name", _labels(s, sf, stored=stored), labels.TWO_STEPS).withColumn("priority", F.col("priority").cast("long"))
 
 
-def label_warning_sections(s, sf):
-    return labels.warning_sections(_labels(s, sf)).select("label_id", F.col("ord").cast("long"), "header", "body").distinct()
+def label_warning_sections(s, sf, stored=False):
+    return labels.warning_sections(_labels(s, sf, stored=stored)).select("label_id", F.col("ord").cast("long"), "header", "body").distinct()
 
 
-def label_ar_items(s, sf):
-    rows = exploded(_labels(s, sf), labels.items(labels.element0("adverse_reactions")), "item", "label_id", pos="pos")
+def label_ar_items(s, sf, stored=False):
+    rows = exploded(_labels(s, sf, stored=stored), labels.items(labels.element0("adverse_reactions")), "item", "label_id", pos="pos")
     return rows.select("label_id", F.col("pos").cast("long"), "item").distinct()
 
 
-def label_side_effects(s, sf):
-    raw = _labels(s, sf)
+def label_side_effects(s, sf, stored=False):
+    raw = _labels(s, sf, stored=stored)
     return labels.side_effects(raw, labels.warning_sections(raw)).select("label_id", "section", F.col("ord").cast("long"), "label", "text").distinct()
 
 
-def label_projection(s, sf):
-    flat = labels.projection(_labels(s, sf))
+def label_projection(s, sf, stored=False):
+    flat = labels.projection(_labels(s, sf, stored=stored))
     joined = {c: F.array_join(c, "|", "-") for c in ("brand_name", "generic_name", "manufacturer_name", "route", "product_type")}
     return flat.withColumns(joined).distinct()
 
 
-def label_sections(s, sf):
-    return labels.section_rows(_labels(s, sf)).select("label_id", F.col("ord").cast("long"), "section", "text").distinct()
+def label_sections(s, sf, stored=False):
+    return labels.section_rows(_labels(s, sf, stored=stored)).select("label_id", F.col("ord").cast("long"), "section", "text").distinct()
 
 
-def label_titles(s, sf):
+def label_titles(s, sf, stored=False):
     drug = F.lit("the drug")
-    return _labels(s, sf).select("label_id", labels.title(drug).alias("title"), labels.link(F.col("set_id"), drug, LINK).alias("link")).distinct()
+    return _labels(s, sf, stored=stored).select("label_id", labels.title(drug).alias("title"), labels.link(F.col("set_id"), drug, LINK).alias("link")).distinct()
 
 
-def keyword_context(s, sf):
-    return labels.keyword_context(_labels(s, sf), "dose").select("label_id", F.col("hit_no").cast("long"), "context").distinct()
+def keyword_context(s, sf, stored=False):
+    return labels.keyword_context(_labels(s, sf, stored=stored), "dose").select("label_id", F.col("hit_no").cast("long"), "context").distinct()
 
 
 def report_match(s, sf):
     return analysis.report_match(_extracted(s, sf, True), _counted(s, sf)).withColumn("ord", F.col("ord").cast("long"))
 
 
-def _cases(s, sf):
-    return analysis.cases(_extracted(s, sf, True), _labels(s, sf), _counted(s, sf))
+def _cases(s, sf, stored=False):
+    return analysis.cases(_extracted(s, sf, True), _labels(s, sf, stored=stored), _counted(s, sf))
 
 
-def _checked(s, sf):
-    c = exploded(_cases(s, sf), F.col("reactions"), "r", "id", "sections", "items", "raw_reactions", "raw_warnings", "label_id")
+def _checked(s, sf, stored=False):
+    c = exploded(_cases(s, sf, stored=stored), F.col("reactions"), "r", "id", "sections", "items", "raw_reactions", "raw_warnings", "label_id")
     return c.withColumns({"ord": F.col("r.ord").cast("long"), "reaction": F.col("r.reaction")})
 
 
-def label_match(s, sf):
-    c = _checked(s, sf)
+def label_match(s, sf, stored=False):
+    c = _checked(s, sf, stored=stored)
     heads, hits, found = match.match_sections(F.col("reaction"), F.col("sections"), F.col("items"))
     return c.select("id", "ord", "reaction", found.alias("found_in_label"), F.array_join(heads, "|").alias("headers"), F.size(hits).cast("long").alias("items")).distinct()
 
 
-def label_gaps(s, sf):
-    return label_match(s, sf).where("NOT found_in_label").select("id", "ord", "reaction")
+def label_gaps(s, sf, stored=False):
+    return label_match(s, sf, stored=stored).where("NOT found_in_label").select("id", "ord", "reaction")
 
 
-def label_tags(s, sf):
+def label_tags(s, sf, stored=False):
     tagged = match.tags(F.col("reaction"), F.col("raw_reactions"), F.col("raw_warnings"))
-    return _checked(s, sf).select("id", "ord", "reaction", F.array_join(tagged, "|").alias("tags")).distinct()
+    return _checked(s, sf, stored=stored).select("id", "ord", "reaction", F.array_join(tagged, "|").alias("tags")).distinct()
 
 
-def label_check_per_drug(s, sf):
+def label_check_per_drug(s, sf, stored=False):
     """Reactions against the label of the drug they are tied to; without a label they count as not found."""
     rows = _reactions(s, sf, False).select("narrative_id", "ord", "reaction", F.lower("drug").alias("drug"))
-    raw = _labels(s, sf)
+    raw = _labels(s, sf, stored=stored)
     flat = labels.projection(raw).select("label_id", *(F.lower(c).alias(c) for c in ("adverse_reactions_raw", "warnings_raw")))
     meant = labels.resolve(rows, "drug", raw).join(flat, "label_id").dropDuplicates(["drug"]).drop("label_id", "priority")
     tagged = match.tags(F.col("reaction"), F.col("adverse_reactions_raw"), F.col("warnings_raw"), r"\s+")
     return rows.join(meant, "drug", "left").select("narrative_id", "ord", "reaction", "drug", (F.size(tagged) > 0).alias("found")).distinct()
 
 
-def in_label_counts(s, sf):
-    rows = label_check_per_drug(s, sf).withColumn("drug", F.coalesce("drug", F.lit("<none>")))
+def in_label_counts(s, sf, stored=False):
+    rows = label_check_per_drug(s, sf, stored=stored).withColumn("drug", F.coalesce("drug", F.lit("<none>")))
     return rows.groupBy("drug").agg(F.count_if("found").alias("in_label"), F.count_if(~F.col("found")).alias("not_in_label"))
 
 
-def _full(s, sf):
-    c = _cases(s, sf)
+def _full(s, sf, stored=False):
+    c = _cases(s, sf, stored=stored)
     return compare.full(c.dropDuplicates(["id"]), _lexicons(s, sf)[1])
 
 
-def full_comparison(s, sf):
-    return _full(s, sf).select(
+def full_comparison(s, sf, stored=False):
+    return _full(s, sf, stored=stored).select(
         "id", "reaction", "severity", "onset", "outcome", "in_narrative", "found_in_label", "report_count", "drug",
         F.array_join("label_sections", "|").alias("label_sections"), F.col("src").cast("long").alias("src"), "ord",
     )
 
 
-def novel_reactions(s, sf):
-    return _full(s, sf).where("NOT found_in_label").select("id", "reaction", "report_count")
+def novel_reactions(s, sf, stored=False):
+    return _full(s, sf, stored=stored).where("NOT found_in_label").select("id", "reaction", "report_count")
 
 
 def _scored(points):
@@ -363,3 +366,22 @@ QUERIES = {
         engine_field_gaps, engine_patient_gaps, engine_diff_summary, engine_merge, ner_extract, request_errors, json_sink,
     )
 }
+
+
+def _stored(query):
+    def over_stored(s, sf):
+        return query(s, sf, stored=True)
+
+    over_stored.__name__ = f"{query.__name__}_stored"
+    return over_stored
+
+
+#: The whole job over the tables as stored.
+STORED = {
+    f"{f.__name__}_stored": _stored(f)
+    for f in (
+        label_resolve, label_resolve_two_steps, label_warning_sections, label_ar_items, label_side_effects, label_projection, label_sections,
+        label_titles, keyword_context, label_match, label_gaps, label_tags, label_check_per_drug, in_label_counts, full_comparison, novel_reactions,
+    )
+}
+QUERIES |= STORED

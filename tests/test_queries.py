@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from narravig import lexicons as lex
 from narravig.sources import providers
 from narravig.streaming import narratives
 
@@ -68,3 +69,26 @@ def test_stream_counts_reactions_once(spark, tmp_path):
     query = counted.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert [(r.drug, r.reaction, r.n) for r in spark.table("counted").collect()] == [("aspirin", "rash", 1)]
+
+
+def _label_table(spark, at, *rows):
+    """drug_labels of (label_id, lists by field); other fields are null."""
+    openfda = "struct<" + ",".join(f"{k}:array<string>" for k in ("brand_name", "generic_name", "substance_name", "manufacturer_name", "route", "product_type")) + ">"
+    schema = f"label_id long, set_id string, openfda {openfda}, " + ", ".join(f"{f} array<string>" for f, _ in lex.SECTIONS)
+    made = [(i, None, None, *(fields.get(f) for f, _ in lex.SECTIONS)) for i, fields in rows]
+    spark.createDataFrame(made, schema).write.parquet(f"{at}/drug_labels.parquet")
+    return str(at)
+
+
+def test_labels_as_stored(spark, tmp_path):
+    known = __spark_entry__.queries()
+    sf = _label_table(
+        spark,
+        tmp_path,
+        (1, {"warnings": ["Allergy alert may redden. Liver warning see a doctor.", "second text"], "adverse_reactions": ["Severe migraine."]}),
+        (2, {"warnings_and_precautions": ["Use with care."], "contraindications": ["Known porphyria."]}),
+    )
+    sections = {(r.label_id, r.header, r.body) for r in known["label_warning_sections_stored"](spark, sf).collect()}
+    assert sections == {(1, "Allergy alert", "may redden."), (1, "Liver warning", "see a doctor.")}
+    flat = {r.label_id: r.warnings_raw for r in known["label_projection_stored"](spark, sf).collect()}
+    assert flat == {1: "Allergy alert may redden. Liver warning see a doctor.", 2: "Use with care."}
