@@ -125,6 +125,23 @@ class Walker:
                 if fields is not None:
                     yield from self.walk(element, sub, f"{here}.{i}.", f"{at}.", f"{to}.")
 
+    def roots(self, payload: str | None, fields: list[str], person: list[str]) -> Iterator[tuple]:
+        """Label, path, number, ``fields`` and the patient's ``person`` of each record of a complete payload."""
+        try:
+            value = json.loads(payload) if payload is not None else None
+            # a record may hold nothing but its scalar members
+            records = (self.records(value) or Walker({f: [] for f in (*fields, "patient")}).records(value)) if isinstance(value, dict) else []
+        except (ValueError, RecursionError):
+            return
+        for n, record in enumerate(records):
+            members = self.members(record)
+            of = lambda own, name: _scalar(own.get(fold(name), (0, name, None))[2])
+            patient = _decoded(members.get("patient", (0, "patient", None))[2])
+            patient = patient[0] if isinstance(patient, list) and len(patient) == 1 else patient
+            told = self.members(patient) if isinstance(patient, dict) else {}
+            at = (f"1.0.{n}", f"results[{n}]") if n else ("0", "$")
+            yield *at, n, *(of(members, f) for f in fields), *(of(told, f) for f in person)
+
     def __call__(self, key, payload) -> Iterator[tuple]:
         why = None
         try:
@@ -168,9 +185,20 @@ def nodes(df: DataFrame, key: str | Column, payload: str | Column, shape: dict =
     )
 
 
+def roots(df: DataFrame, key: str, payload: str, fields: list[str], person: list[str]) -> DataFrame:
+    """The root table: key, dewey and node_path (the parent's of a record's elements), pos, scalar members and the patient's."""
+    schema = "key long, dewey string, node_path string, pos long, " + ", ".join(f"{f} string" for f in (*fields, *person))
+
+    def make():
+        walker = Walker(RECORD)
+        return lambda k, text: ((k, *row) for row in walker.roots(text, fields, person))
+
+    return flat_map(df, [F.col(key).cast("long").alias("key"), payload], make, schema).distinct()
+
+
 def table(labelled: DataFrame, schema_path: str, fields: list[str]) -> DataFrame:
-    """The flat table of one schema path: key, own label, parent's label, position and the named scalar members."""
-    own = labelled.where((F.col("schema_path") == schema_path) & ~F.col("is_null"))
+    """The flat table of one schema path, in any record of the payload: key, own label, parent's label, position and the named scalar members."""
+    own = labelled.where(F.col("schema_path").isin(schema_path, f"results[].{schema_path}") & ~F.col("is_null"))
     return own.select(
         "key", "dewey", "parent_dewey", "parent_path", "node_path", "pos", "value", *(F.col("fields")[f].alias(f) for f in fields)
     ).distinct()

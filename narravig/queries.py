@@ -19,15 +19,26 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """Every node with its Dewey label, its parent's, and its schema path."""
+    """Every node with its Dewey label, its parent's, its schema path, and the scalar members of an object as JSON."""
     kept = _payload_nodes(spark, sf).where("broken IS NULL")
-    return kept.select("key", "dewey", "parent_dewey", "node_path", "parent_path", "schema_path", "pos", "is_null", "value").distinct()
+    own = kept.select("key", "dewey", "parent_dewey", "node_path", "parent_path", "schema_path", "pos", "is_null", "value", F.to_json("fields", {"ignoreNullFields": "false"}).alias("fields"))
+    return own.distinct()
 
 
 def p2_broken(spark: SparkSession, sf: str) -> DataFrame:
     return _payload_nodes(spark, sf).where("broken IS NOT NULL").select("key", "broken").distinct()
 
 
+def p2_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The root table: one row a record, with its scalar members and the patient's."""
+    return nested.roots(read(spark, sf, "raw_records", "record_id", "payload"), "record_id", "payload", ["set_id"], ["age", "sex"])
+
+
+def p2_reactions(spark: SparkSession, sf: str) -> DataFrame:
+    """Reactions of the record itself."""
+    return nested.table(_payload_nodes(spark, sf), "reactions[]", ["reaction", "severity", "onset", "outcome"])
+
+
 def p2_drugs(spark: SparkSession, sf: str) -> DataFrame:
     return nested.table(_payload_nodes(spark, sf), "drugs[]", ["name", "dose"])
 
@@ -52,13 +63,34 @@ def p2_label_openfda(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select(F.col("key").alias("label_id"), "schema_path", "pos", "value").distinct()
 
 
-def p2_extracted(spark: SparkSession, sf: str) -> DataFrame:
-    """Drugs and reactions of ai_extractions with their links."""
+def _extracted_nodes(spark: SparkSession, sf: str) -> DataFrame:
     rows = read(spark, sf, "ai_extractions", "narrative_id", "extraction").where("extraction IS NOT NULL")
     payload = F.to_json(F.struct("extraction.drugs", "extraction.reactions"), {"ignoreNullFields": "false"})
-    kept = nested.nodes(rows, "narrative_id", payload).where("NOT is_null")
+    return nested.nodes(rows, "narrative_id", payload)
+
+
+def p2_extracted(spark: SparkSession, sf: str) -> DataFrame:
+    """Drugs and reactions of ai_extractions with their links, and all their members as JSON."""
+    kept = _extracted_nodes(spark, sf).where("NOT is_null")
     name = F.coalesce(F.col("fields")["name"], F.col("fields")["reaction"])
-    return kept.select(F.col("key").alias("narrative_id"), "node_path", "parent_path", "schema_path", "pos", name.alias("name")).distinct()
+    members = F.to_json("fields", {"ignoreNullFields": "false"})
+    return kept.select(F.col("key").alias("narrative_id"), "node_path", "parent_path", "schema_path", "pos", name.alias("name"), members.alias("fields")).distinct()
+
+
+def p2_extracted_drugs(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.table(_extracted_nodes(spark, sf), "drugs[]", ["name", "dose", "route", "indication"])
+
+
+def p2_extracted_reactions(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.table(_extracted_nodes(spark, sf), "reactions[]", ["reaction", "severity", "onset", "outcome", "drug"])
+
+
+def p2_extracted_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The root table of ai_extractions: one row an extraction, with the patient's members."""
+    rows = read(spark, sf, "ai_extractions", "narrative_id", "extraction").where("extraction IS NOT NULL")
+    e, patient = F.col("extraction"), ("age", "sex", "relevant_history")
+    own = (e[c].alias(c) for c in ("causality", "overall_severity", "notes"))
+    return rows.select(F.col("narrative_id").alias("key"), *(e["patient"][c].alias(c) for c in patient), *own).distinct()
 
 
 def _packed(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,8 +126,8 @@ def p6_doses(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_nodes, p2_broken, p2_drugs, p2_drug_reactions, p2_sections, p2_section_items, p2_label_openfda, p2_extracted,
-        p5_found, p5_flags, p6_found, p6_doses,
+        p2_found, p2_nodes, p2_broken, p2_records, p2_reactions, p2_drugs, p2_drug_reactions, p2_sections, p2_section_items, p2_label_openfda,
+        p2_extracted, p2_extracted_drugs, p2_extracted_reactions, p2_extracted_records, p5_found, p5_flags, p6_found, p6_doses,
     )
 } | reference_queries.QUERIES
 

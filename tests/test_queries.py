@@ -92,3 +92,34 @@ def test_labels_as_stored(spark, tmp_path):
     assert sections == {(1, "Allergy alert", "may redden."), (1, "Liver warning", "see a doctor.")}
     flat = {r.label_id: r.warnings_raw for r in known["label_projection_stored"](spark, sf).collect()}
     assert flat == {1: "Allergy alert may redden. Liver warning see a doctor.", 2: "Use with care."}
+
+
+def test_nested_tables_hold_every_scalar(spark, tmp_path):
+    known = __spark_entry__.queries()
+    drug = {"name": "a", "dose": "5 mg", "reactions": [{"reaction": "ache", "onset": "2 days"}]}
+    reaction = {"reaction": "rash", "severity": "mild", "outcome": "resolved"}
+    payloads = [
+        (1, json.dumps({"results": [{"setId": "S", "patient": {"age": 58, "sex": None}, "drugs": drug, "reactions": [None, reaction]}, {"set_id": "T", "drugs": [drug]}]})),
+        (2, json.dumps({"set_id": "U", "patient": json.dumps({"Age": "7", "sex": "male"})})),
+        (3, "{cut"),
+        (4, None),
+    ]
+    spark.createDataFrame(payloads + payloads[:1], "record_id long, payload string").write.parquet(f"{tmp_path}/raw_records.parquet")
+    got = lambda name, *c: sorted(tuple(r[x] for x in c) for r in known[name](spark, str(tmp_path)).collect())
+    assert got("p2_records", "key", "dewey", "node_path", "set_id", "age") == [(1, "0", "$", "S", "58"), (1, "1.0.1", "results[1]", "T", None), (2, "0", "$", "U", "7")]
+    assert got("p2_reactions", "key", "parent_dewey", "pos", "reaction", "severity", "outcome") == [(1, "0", 1, "rash", "mild", "resolved")]
+    assert {d for _, d in got("p2_drugs", "key", "parent_dewey")} == {"0", "1.0.1"}
+    nodes = {r.node_path: r.fields for r in known["p2_nodes"](spark, str(tmp_path)).collect()}
+    assert json.loads(nodes["reactions[1]"]) == reaction and nodes["reactions[0]"] is None
+
+    schema = (
+        "narrative_id long, extraction struct<drugs:array<struct<name:string,dose:string,route:string,indication:string>>,"
+        "reactions:array<struct<reaction:string,severity:string,onset:string,outcome:string,drug:string>>,"
+        "patient:struct<age:string,sex:string,relevant_history:string>,causality:string,overall_severity:string,notes:string>, error string"
+    )
+    extraction = ([("a", "5 mg", "oral", None)], [("rash", "mild", None, "resolved", "a")], ("58", "male", None), "possible", None, "n")
+    spark.createDataFrame([(1, extraction, None), (2, None, "down")], schema).write.parquet(f"{tmp_path}/ai_extractions.parquet")
+    assert got("p2_extracted_drugs", "key", "pos", "name", "dose", "route", "indication") == [(1, 0, "a", "5 mg", "oral", None)]
+    assert got("p2_extracted_reactions", "key", "pos", "reaction", "severity", "onset", "outcome", "drug") == [(1, 0, "rash", "mild", None, "resolved", "a")]
+    assert got("p2_extracted_records", "key", "age", "sex", "causality", "notes") == [(1, "58", "male", "possible", "n")]
+    assert [json.loads(f)["outcome"] for p, f in got("p2_extracted", "node_path", "fields") if p == "reactions[0]"] == ["resolved"]
