@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from narravig import lexicons as lex
 from narravig.functions.text import exploded
 from narravig.operators import match
-from narravig.operators.extract import entries, literal
+from narravig.operators.extract import entries, literal, occurring_each
 
 TOP = 50
 HEADERS = tuple(h.lower() for h in lex.WARNING_HEADERS)
@@ -70,13 +70,19 @@ def full(cases: DataFrame, reaction_lex: DataFrame) -> DataFrame:
         tagged = F.when(F.coalesce(warned, F.lit(False)), F.array(F.lit("Adverse Reactions"), F.lit("Warning"))).otherwise(F.array(F.lit("Adverse Reactions")))
         return row(2, i, name, hit["cnt"], tagged)
 
-    listed = entries(reaction_lex, "term") or []
+    listed = entries(reaction_lex, "term")
     skip = set(HEADERS) | set(lex.EXCLUDED_TERMS)
-    listed_terms = literal([(n, t) for n, t in listed if t not in skip])
-    size = max((n for n, _ in listed), default=0) + 1
+    if listed is not None:
+        listed_terms = literal([(n, t) for n, t in listed if t not in skip])
+        size = max((n for n, _ in listed), default=0) + 1
+    else:
+        # too many terms for literals: each section's are found beforehand
+        size = reaction_lex.where("term <> ''").agg(F.max("ord")).first()[0] + 1
+        bodies = F.transform("sections", lambda s: F.lower(s["body"]))
+        cases = occurring_each(cases, bodies, reaction_lex.where(~F.lower("term").isin(*skip)), "term", "_listed")
 
     def warned(s: Column, i: Column) -> Column:
-        hits = F.filter(listed_terms, lambda x: F.contains(F.lower(s["body"]), x["name"]))
+        hits = F.filter(listed_terms, lambda x: F.contains(F.lower(s["body"]), x["name"])) if listed is not None else F.get(F.col("_listed"), i)
 
         def one(x: Column) -> Column:
             both = lambda t: F.contains(t["term"], x["name"]) | F.contains(x["name"], t["term"])

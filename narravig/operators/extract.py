@@ -39,8 +39,21 @@ def occurring(df: DataFrame, text: str, lexicon: DataFrame, name: str, out: str)
         listed = literal(own)
         held = let(F.lower(F.col(text)), lambda low: F.filter(listed, lambda x: F.contains(low, x["name"])))
         return df.withColumn(out, F.coalesce(held, F.array().cast(kind)))
+    make = _scanner(lexicon, name)
+    at = df.columns.index(text)
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+
+    def rows():
+        held = make()
+        return lambda *row: [(*row, held(row[at].lower() if row[at] else None))]
+
+    return flat_map(df, df.columns, rows, f"{schema}, `{out}` {kind}")
+
+
+def _scanner(lexicon: DataFrame, name: str):
+    """Makes, in a worker, the function that lists a small-letter text's entries in list order."""
     rows = [(r.ord, r.name) for r in lexicon.select("ord", F.lower(F.col(name)).alias("name")).where("name <> ''").toLocalIterator()]
-    shared = df.sparkSession.sparkContext.broadcast(rows)
+    shared = lexicon.sparkSession.sparkContext.broadcast(rows)
 
     def make():
         import ahocorasick
@@ -49,16 +62,21 @@ def occurring(df: DataFrame, text: str, lexicon: DataFrame, name: str, out: str)
         for o, n in shared.value:
             tree.add_word(n, tree.get(n, []) + [(o, n)])
         tree.make_automaton()
+        return lambda low: [{"ord": o, "name": n} for o, n in sorted({e for _, es in tree.iter(low) for e in es})] if low else []
 
-        def scan(*row):
-            hits = {e for _, es in tree.iter(row[at].lower()) for e in es} if row[at] else ()
-            yield *row, [{"ord": o, "name": n} for o, n in sorted(hits)]
+    return make
 
-        return scan
 
-    at = df.columns.index(text)
+def occurring_each(df: DataFrame, texts: Column, lexicon: DataFrame, name: str, out: str) -> DataFrame:
+    """``df`` with array ``out``: for each of the small-letter ``texts`` the (ord, name) of its entries, by automaton."""
+    make = _scanner(lexicon, name)
+
+    def rows():
+        held = make()
+        return lambda *row: [(*row[:-1], [held(t) for t in row[-1] or ()])]
+
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return flat_map(df, df.columns, make, f"{schema}, `{out}` {kind}")
+    return flat_map(df, [*df.columns, texts.alias("_texts")], rows, f"{schema}, `{out}` array<array<struct<ord:int,name:string>>>")
 
 
 def _window(text: Column, low: Column, found: Column, place, lead: int, tail: int) -> Column:

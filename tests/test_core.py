@@ -241,3 +241,16 @@ def test_trees_learn():
     model = BaggedClassifier().fit(x[:300], np.where(y[:300] > 1, "b", "a"))
     guess, chance = model.predict(x[300:])
     assert (guess == np.where(y[300:] > 1, "b", "a")).mean() > 0.9 and model.accuracy > 0.9 and (chance <= 1).all()
+
+
+def test_full_comparison_is_equal_for_long_lists(spark, monkeypatch):
+    terms = "array<struct<rank:bigint,term:string,cnt:bigint>>"
+    reactions = "array<struct<ord:int,reaction:string,severity:string,onset:string,outcome:string,drug:string>>"
+    schema = f"id long, reactions {reactions}, items array<string>, sections array<struct<header:string,body:string>>, raw_reactions string, raw_warnings string, terms {terms}"
+    rows = [(1, [], ["Sore gums"], [("Do not use", "with a Rash"), ("Liver warning", "jaundice, rash or ache; death")], "", "", [(1, "rash", 4)]), (2, [], None, None, None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    lexicon = spark.createDataFrame([(0, "Rash"), (1, "ache"), (2, "jaundice"), (3, "death"), (4, "fever")], "ord int, term string")
+    short = sorted(map(str, compare.full(df, lexicon).collect()))
+    monkeypatch.setattr(extract, "LITERAL_ENTRIES", 3)
+    assert sorted(map(str, compare.full(df, lexicon).collect())) == short
+    assert sum("src=3" in r for r in short) == 3
