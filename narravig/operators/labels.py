@@ -74,16 +74,16 @@ def warning_sections(labels: DataFrame) -> DataFrame:
 
 def items(text: Column) -> Column:
     """Cleaned items of a text: sentences and parts between semicolons that may name a reaction, in order."""
-    parts = F.split(strip(text), r"(?<=[.!?])\s+(?=[A-Z])|;\s*")
+    parts = F.split(strip(text), rx(r"(?<=[.!?])\s+(?=[A-Z])|;\s*"))
     parts = F.transform(parts, lambda p: F.rtrim(strip(p), F.lit(".,;")))
-    dose = r"(?i)^[\w\s,\-]*\d+\s*(?:mg|mcg|ug|g|ml|units?|IU)\b[\w\s,\-]*$"
+    dose = r"^[\w\s,\-]*\d+\s*(?:mg|mcg|ug|g|ml|units?|IU)\b[\w\s,\-]*$"
     keep = lambda p: (
         (F.length(p) >= 6)
         & ~F.regexp_like(F.lower(p), F.lit("|".join(re.escape(b) for b in lex.BOILERPLATE)))
-        & ~F.regexp_like(p, F.lit(r"\d+\s*%"))
-        & ~F.regexp_like(p, F.lit(r"^[\d\s,.\-]+$"))
-        & ~F.regexp_like(p, F.lit(dose))
-        & ~F.regexp_like(p, F.lit(rf"(?i)^(?:{lex.LEADING_WORDS})\b"))
+        & ~F.regexp_like(p, F.lit(rx(r"\d+\s*%")))
+        & ~F.regexp_like(p, F.lit(rx(r"^[\d\s,.\-]+$")))
+        & ~F.regexp_like(p, F.lit(rx(dose, True)))
+        & ~F.regexp_like(p, F.lit(rx(rf"^(?:{lex.LEADING_WORDS})\b", True)))
         & F.regexp_like(p, F.lit("[a-zA-Z]{4,}"))
     )
     return F.filter(parts, keep)

@@ -1,8 +1,7 @@
 """Queries of the narrative, label, report and comparison operators, each with SQL for another engine.
 
-Texts are first mapped to ASCII, where the regex dialects agree; Unicode is covered by unit tests. The SQL also rewrites
-the warnings of two labels in three, so that they have sections. The queries named ``..._stored`` run over the labels as
-they are and have no SQL.
+Texts are first mapped to ASCII, where the regex dialects agree. The SQL also rewrites the warnings of two labels in three, so
+that they have sections. The queries named ``..._stored`` run over the texts as they are, with Unicode classes, and have no SQL.
 """
 
 from __future__ import annotations
@@ -20,27 +19,28 @@ LINK = "https://labels.example.org"
 TEXTS = tuple(f for f, _ in lex.SECTIONS)
 
 
-def _told(s: SparkSession, sf: str) -> DataFrame:
-    return analysis.narratives(spread(read(s, sf, "narratives", "narrative_id", "drug_name", "engine", "narrative")), plain=True)
+def _told(s: SparkSession, sf: str, stored: bool = False) -> DataFrame:
+    return analysis.narratives(spread(read(s, sf, "narratives", "narrative_id", "drug_name", "engine", "narrative")), plain=not stored)
 
 
 def _lexicons(s: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return read(s, sf, "drug_lex"), read(s, sf, "reaction_lex")
 
 
-def _extracted(s: SparkSession, sf: str, aware: bool) -> DataFrame:
-    return extract.extract(_told(s, sf), "t", *_lexicons(s, sf), aware)
+def _extracted(s: SparkSession, sf: str, aware: bool, stored: bool = False) -> DataFrame:
+    return extract.extract(_told(s, sf, stored=stored), "t", *_lexicons(s, sf), aware)
 
 
 def _labels(s: SparkSession, sf: str, stored: bool = False) -> DataFrame:
-    """Labels in ASCII. Unless ``stored``, other fields lend their text to two thirds of the warnings, under headers, as the SQL has it."""
+    """Labels as ``stored``, or in ASCII, where other fields lend their text to two thirds of the warnings, under headers, as the SQL has it."""
     raw = spread(read(s, sf, "drug_labels", "label_id", "set_id", "openfda", *TEXTS))
     at = lambda c: F.coalesce(F.get(F.col(c), 0), F.lit(""))
     built = F.concat(
         F.lit("Intro. Liver warning "), at("adverse_reactions"), F.lit(" Do not use with "), at("contraindications"), F.lit(" Liver warning "), at("warnings")
     )
-    if not stored:
-        raw = raw.withColumn("warnings", F.when(F.col("label_id") % 3 != 0, F.array(built)).otherwise(F.col("warnings")))
+    if stored:
+        return raw
+    raw = raw.withColumn("warnings", F.when(F.col("label_id") % 3 != 0, F.array(built)).otherwise(F.col("warnings")))
     return raw.withColumns({c: F.transform(c, ascii_only) for c in TEXTS})
 
 
@@ -48,59 +48,59 @@ def _counted(s: SparkSession, sf: str) -> DataFrame:
     return reports.counts(read(s, sf, "reports", "report_id", "line_no", "drug", "reaction"))
 
 
-def deid_redact(s, sf):
-    return _told(s, sf).select("narrative_id", deid.redact(F.col("t")).alias("redacted"), (deid.redact(F.col("t")) != F.col("t")).alias("changed")).distinct()
+def deid_redact(s, sf, stored=False):
+    return _told(s, sf, stored=stored).select("narrative_id", deid.redact(F.col("t")).alias("redacted"), (deid.redact(F.col("t")) != F.col("t")).alias("changed")).distinct()
 
 
-def deid_findings(s, sf):
-    found = exploded(deid.findings(_told(s, sf), "t"), F.col("findings"), "f", "narrative_id", pos="hit_no")
+def deid_findings(s, sf, stored=False):
+    found = exploded(deid.findings(_told(s, sf, stored=stored), "t"), F.col("findings"), "f", "narrative_id", pos="hit_no")
     return found.select("narrative_id", F.col("hit_no").cast("long"), "f.rule", "f.original", "f.label").distinct()
 
 
-def deid_rule_counts(s, sf):
-    return deid_findings(s, sf).groupBy("rule").agg(F.count("*").alias("hits"), F.countDistinct("narrative_id").alias("narratives"))
+def deid_rule_counts(s, sf, stored=False):
+    return deid_findings(s, sf, stored=stored).groupBy("rule").agg(F.count("*").alias("hits"), F.countDistinct("narrative_id").alias("narratives"))
 
 
-def redaction_marked(s, sf):
+def redaction_marked(s, sf, stored=False):
     marked = F.regexp_replace(deid.redact(F.col("t")), r"(\[[A-Z]+\])", "<mark>$1</mark>")
-    return _told(s, sf).select("narrative_id", marked.alias("marked")).distinct()
+    return _told(s, sf, stored=stored).select("narrative_id", marked.alias("marked")).distinct()
 
 
-def collapse_ws(s, sf):
-    text = F.regexp_replace(strip(ascii_only(F.col("text"))), rx(r"\s+"), " ")
+def collapse_ws(s, sf, stored=False):
+    text = F.regexp_replace(strip(F.col("text") if stored else ascii_only(F.col("text"))), rx(r"\s+"), " ")
     return read(s, sf, "documents", "doc_id", "text").select("doc_id", text.alias("text")).where(F.length("text") > 20)
 
 
-def drug_mentions(s, sf):
-    rows = exploded(_extracted(s, sf, False), F.col("drugs"), "d", "narrative_id")
+def drug_mentions(s, sf, stored=False):
+    rows = exploded(_extracted(s, sf, False, stored=stored), F.col("drugs"), "d", "narrative_id")
     return rows.select("narrative_id", F.col("d.ord").cast("long").alias("ord"), "d.name", F.col("d.start").cast("long").alias("start"), "d.dose", "d.route", "d.indication").distinct()
 
 
-def drug_doses_aware(s, sf):
-    rows = exploded(_extracted(s, sf, True), F.col("drugs"), "d", "narrative_id")
+def drug_doses_aware(s, sf, stored=False):
+    rows = exploded(_extracted(s, sf, True, stored=stored), F.col("drugs"), "d", "narrative_id")
     return rows.select("narrative_id", "d.name", "d.dose").distinct()
 
 
-def _reactions(s, sf, aware):
-    rows = exploded(_extracted(s, sf, aware), F.col("reactions"), "r", "narrative_id")
+def _reactions(s, sf, aware, stored=False):
+    rows = exploded(_extracted(s, sf, aware, stored=stored), F.col("reactions"), "r", "narrative_id")
     cols = (F.col(f"r.{c}") for c in ("reaction", "severity", "onset", "outcome", "drug"))
     return rows.select("narrative_id", F.col("r.ord").cast("long").alias("ord"), F.col("r.start").cast("long").alias("start"), *cols).distinct()
 
 
-def reactions_substring(s, sf):
-    return _reactions(s, sf, False)
+def reactions_substring(s, sf, stored=False):
+    return _reactions(s, sf, False, stored=stored)
 
 
-def reactions_aware(s, sf):
-    return _reactions(s, sf, True)
+def reactions_aware(s, sf, stored=False):
+    return _reactions(s, sf, True, stored=stored)
 
 
-def reactions_by_drug(s, sf):
-    rows = _reactions(s, sf, True).withColumn("drug", F.coalesce("drug", F.lit("<none>")))
+def reactions_by_drug(s, sf, stored=False):
+    rows = _reactions(s, sf, True, stored=stored).withColumn("drug", F.coalesce("drug", F.lit("<none>")))
     return rows.groupBy("drug").agg(F.count("*").alias("reactions"), F.countDistinct("narrative_id").alias("narratives"))
 
 
-def patient_facts(s, sf):
+def patient_facts(s, sf, stored=False):
     t = F.col("t")
     facts = {
         "age": first(t, lex.AGE, 1),
@@ -108,30 +108,30 @@ def patient_facts(s, sf):
         "causality": F.coalesce(F.lower(first(t, lex.CAUSALITY)), F.lit("unassessable")),
         "overall_severity": F.lower(first(t, lex.SEVERITY)),
     }
-    return _told(s, sf).select("narrative_id", *(c.alias(k) for k, c in facts.items())).distinct()
+    return _told(s, sf, stored=stored).select("narrative_id", *(c.alias(k) for k, c in facts.items())).distinct()
 
 
-def extraction_notes(s, sf):
+def extraction_notes(s, sf, stored=False):
     d, r = F.size("drugs"), F.size("reactions")
     note = F.format_string("Extracted by rules. %d drug(s), %d reaction(s) found.", d, r)
-    return _extracted(s, sf, False).select("narrative_id", d.cast("long").alias("drugs"), r.cast("long").alias("reactions"), note.alias("notes")).distinct()
+    return _extracted(s, sf, False, stored=stored).select("narrative_id", d.cast("long").alias("drugs"), r.cast("long").alias("reactions"), note.alias("notes")).distinct()
 
 
-def distinct_drugs(s, sf):
-    rows = exploded(_extracted(s, sf, False), F.col("drugs"), "d", "narrative_id").select("narrative_id", F.lower("d.name").alias("name"), "d.ord")
+def distinct_drugs(s, sf, stored=False):
+    rows = exploded(_extracted(s, sf, False, stored=stored), F.col("drugs"), "d", "narrative_id").select("narrative_id", F.lower("d.name").alias("name"), "d.ord")
     return rows.groupBy("narrative_id", "name").agg(F.min("ord").cast("long").alias("first_ord"))
 
 
-def drug_headers(s, sf):
+def drug_headers(s, sf, stored=False):
     """The first drug row of each narrative's reactions' drugs, with its dose and route."""
-    x = _extracted(s, sf, False)
+    x = _extracted(s, sf, False, stored=stored)
     rows = exploded(x, F.col("reactions"), "r", "narrative_id", "drugs").where("r.drug IS NOT NULL")
     d = F.filter("drugs", lambda d: F.lower(d["name"]) == F.lower(F.col("r.drug")))[0]
     return rows.select("narrative_id", F.col("r.drug").alias("drug"), d["dose"].alias("dose"), d["route"].alias("route")).distinct()
 
 
-def evidence_sentence(s, sf):
-    rows = exploded(_extracted(s, sf, False), F.col("reactions"), "r", "narrative_id", "t")
+def evidence_sentence(s, sf, stored=False):
+    rows = exploded(_extracted(s, sf, False, stored=stored), F.col("reactions"), "r", "narrative_id", "t")
     parts = F.regexp_extract_all("t", F.lit(r"[^.!?]+[.!?]*"), 0)
     term = F.lower("r.reaction")
     hit = F.get(F.filter(parts, lambda p: F.contains(F.lower(p), term)), 0)
@@ -199,12 +199,12 @@ def keyword_context(s, sf, stored=False):
     return labels.keyword_context(_labels(s, sf, stored=stored), "dose").select("label_id", F.col("hit_no").cast("long"), "context").distinct()
 
 
-def report_match(s, sf):
-    return analysis.report_match(_extracted(s, sf, True), _counted(s, sf)).withColumn("ord", F.col("ord").cast("long"))
+def report_match(s, sf, stored=False):
+    return analysis.report_match(_extracted(s, sf, True, stored=stored), _counted(s, sf)).withColumn("ord", F.col("ord").cast("long"))
 
 
 def _cases(s, sf, stored=False):
-    return analysis.cases(_extracted(s, sf, True), _labels(s, sf, stored=stored), _counted(s, sf))
+    return analysis.cases(_extracted(s, sf, True, stored=stored), _labels(s, sf, stored=stored), _counted(s, sf))
 
 
 def _checked(s, sf, stored=False):
@@ -229,7 +229,7 @@ def label_tags(s, sf, stored=False):
 
 def label_check_per_drug(s, sf, stored=False):
     """Reactions against the label of the drug they are tied to; without a label they count as not found."""
-    rows = _reactions(s, sf, False).select("narrative_id", "ord", "reaction", F.lower("drug").alias("drug"))
+    rows = _reactions(s, sf, False, stored=stored).select("narrative_id", "ord", "reaction", F.lower("drug").alias("drug"))
     raw = _labels(s, sf, stored=stored)
     flat = labels.projection(raw).select("label_id", *(F.lower(c).alias(c) for c in ("adverse_reactions_raw", "warnings_raw")))
     meant = labels.resolve(rows, "drug", raw).join(flat, "label_id").dropDuplicates(["drug"]).drop("label_id", "priority")
@@ -262,25 +262,25 @@ def _scored(points):
     return points.withColumn("verdict", score.verdict(F.col("points"))).withColumn("needs_ai", F.col("points") < 80)
 
 
-def confidence(s, sf):
+def confidence(s, sf, stored=False):
     points = score.score(*(F.col(c) for c in ("drugs", "reactions", "age", "sex", "causality", "overall_severity")))
-    return _scored(_extracted(s, sf, True).select("narrative_id", points.alias("points")).distinct())
+    return _scored(_extracted(s, sf, True, stored=stored).select("narrative_id", points.alias("points")).distinct())
 
 
-def _both(s, sf):
+def _both(s, sf, stored=False):
     ai = read(s, sf, "ai_extractions", "narrative_id", "extraction", "error").dropDuplicates(["narrative_id"])
-    told = _extracted(s, sf, False).dropDuplicates(["narrative_id"])
+    told = _extracted(s, sf, False, stored=stored).dropDuplicates(["narrative_id"])
     return analysis.pairs(told, ai)
 
 
-def confidence_other_engine(s, sf):
+def confidence_other_engine(s, sf, stored=False):
     o = F.col("other")
     points = score.score(*(o[c] for c in ("drugs", "reactions", "age", "sex", "causality", "overall_severity")))
-    return _scored(_both(s, sf).where("other IS NOT NULL").select(F.col("id").alias("narrative_id"), points.alias("points")))
+    return _scored(_both(s, sf, stored=stored).where("other IS NOT NULL").select(F.col("id").alias("narrative_id"), points.alias("points")))
 
 
-def engine_setdiff(s, sf):
-    b = _both(s, sf).where("other IS NOT NULL")
+def engine_setdiff(s, sf, stored=False):
+    b = _both(s, sf, stored=stored).where("other IS NOT NULL")
     r, o = F.col("rules"), F.col("other")
     join = lambda a, c, f: F.array_join(enginediff.only_in(enginediff.names(a, f), enginediff.names(c, f)), "|")
     return b.select(
@@ -292,24 +292,24 @@ def engine_setdiff(s, sf):
     )
 
 
-def engine_detail_gaps(s, sf):
-    b = _both(s, sf).where("other IS NOT NULL")
+def engine_detail_gaps(s, sf, stored=False):
+    b = _both(s, sf, stored=stored).where("other IS NOT NULL")
     gaps = F.flatten(enginediff.detail_gaps(F.col("rules.reactions"), F.col("other.reactions")))
     return exploded(b, gaps, "g", "id").select("id", "g.*")
 
 
-def engine_field_gaps(s, sf):
-    b = _both(s, sf).where("other IS NOT NULL")
+def engine_field_gaps(s, sf, stored=False):
+    b = _both(s, sf, stored=stored).where("other IS NOT NULL")
     return exploded(b, enginediff.field_gaps(F.col("rules"), F.col("other"), ("causality", "overall_severity")), "g", "id").select("id", "g.*")
 
 
-def engine_patient_gaps(s, sf):
-    b = _both(s, sf).where("other IS NOT NULL")
+def engine_patient_gaps(s, sf, stored=False):
+    b = _both(s, sf, stored=stored).where("other IS NOT NULL")
     return exploded(b, enginediff.field_gaps(F.col("rules"), F.col("other"), ("age", "sex", "relevant_history")), "g", "id").select("id", "g.*")
 
 
-def engine_diff_summary(s, sf):
-    b = _both(s, sf).where("other IS NOT NULL")
+def engine_diff_summary(s, sf, stored=False):
+    b = _both(s, sf, stored=stored).where("other IS NOT NULL")
     r, o = F.col("rules"), F.col("other")
     missed = lambda f, n: F.size(enginediff.only_in(enginediff.names(o[f], n), enginediff.names(r[f], n))).cast("long")
     gaps = F.size(enginediff.field_gaps(r, o, ("causality", "overall_severity"))) + F.size(enginediff.field_gaps(r, o, ("age", "sex", "relevant_history")))
@@ -317,8 +317,8 @@ def engine_diff_summary(s, sf):
     return b.select("id", missed("drugs", "name").alias("drugs_missed"), missed("reactions", "reaction").alias("reactions_missed"), gaps.cast("long").alias("total_gaps"))
 
 
-def engine_merge(s, sf):
-    m = analysis.compare_engines(_both(s, sf))
+def engine_merge(s, sf, stored=False):
+    m = analysis.compare_engines(_both(s, sf, stored=stored))
     return m.select(
         "id", F.size("drugs").cast("long").alias("drugs"), F.size("reactions").cast("long").alias("reactions"),
         F.array_join(F.array_sort(F.transform("reactions", lambda r: F.lower(r["reaction"]))), "|").alias("names"),
@@ -326,9 +326,9 @@ def engine_merge(s, sf):
     )
 
 
-def _entities(s, sf):
+def _entities(s, sf, stored=False):
     """Entities as a model would give them: list entries in text order, every third with marks before it."""
-    told = _told(s, sf).dropDuplicates(["narrative_id"])
+    told = _told(s, sf, stored=stored).dropDuplicates(["narrative_id"])
     drugs, reactions = _lexicons(s, sf)
     x = extract.occurring(extract.occurring(told, "t", drugs, "name", "d"), "t", reactions, "term", "r")
     made = lambda low, items, kind: F.transform(items, lambda e: F.struct(F.position(e["name"], low).alias("at"), e["name"].alias("word"), F.lit(kind).alias("entity_group")))
@@ -338,8 +338,8 @@ def _entities(s, sf):
     return rows.select("narrative_id", "t", marked.alias("entities"))
 
 
-def ner_extract(s, sf):
-    x = exploded(extract.ner_extract(_entities(s, sf), "t", "entities"), F.col("reactions"), "r", "narrative_id")
+def ner_extract(s, sf, stored=False):
+    x = exploded(extract.ner_extract(_entities(s, sf, stored=stored), "t", "entities"), F.col("reactions"), "r", "narrative_id")
     return x.select("narrative_id", "r.reaction", "r.severity", "r.onset", "r.outcome", "r.drug")
 
 
@@ -380,8 +380,12 @@ def _stored(query):
 STORED = {
     f"{f.__name__}_stored": _stored(f)
     for f in (
-        label_resolve, label_resolve_two_steps, label_warning_sections, label_ar_items, label_side_effects, label_projection, label_sections,
-        label_titles, keyword_context, label_match, label_gaps, label_tags, label_check_per_drug, in_label_counts, full_comparison, novel_reactions,
+        deid_redact, deid_findings, deid_rule_counts, redaction_marked, collapse_ws, drug_mentions, drug_doses_aware, reactions_substring,
+        reactions_aware, reactions_by_drug, patient_facts, extraction_notes, distinct_drugs, drug_headers, evidence_sentence, label_resolve,
+        label_resolve_two_steps, label_warning_sections, label_ar_items, label_side_effects, label_projection, label_sections, label_titles,
+        keyword_context, report_match, label_match, label_gaps, label_tags, label_check_per_drug, in_label_counts, full_comparison,
+        novel_reactions, confidence, confidence_other_engine, engine_setdiff, engine_detail_gaps, engine_field_gaps, engine_patient_gaps,
+        engine_diff_summary, engine_merge, ner_extract,
     )
 }
 QUERIES |= STORED

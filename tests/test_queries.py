@@ -123,3 +123,24 @@ def test_nested_tables_hold_every_scalar(spark, tmp_path):
     assert got("p2_extracted_reactions", "key", "pos", "reaction", "severity", "onset", "outcome", "drug") == [(1, 0, "rash", "mild", None, "resolved", "a")]
     assert got("p2_extracted_records", "key", "age", "sex", "causality", "notes") == [(1, "58", "male", "possible", "n")]
     assert [json.loads(f)["outcome"] for p, f in got("p2_extracted", "node_path", "fields") if p == "reactions[0]"] == ["resolved"]
+
+
+def test_texts_as_stored(spark, tmp_path):
+    known = __spark_entry__.queries()
+    thai, hindi = "ยานี้อาจทำให้เกิดอาการปวดศีรษะได้", "यह दवा  सिरदर्द का कारण बन सकती है"
+    spark.createDataFrame([(1, thai), (2, f"\u3000{hindi}\u00a0"), (3, "短い")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in known["collapse_ws_stored"](spark, str(tmp_path)).collect()} == {(1, thai), (2, " ".join(hindi.split()))}
+
+    told = [(1, "Dolor", None, "Mrs. Müller, née Ångström: após aspirin, rash. Zoë"), (2, None, None, "Überrash nach aspirin")]
+    spark.createDataFrame(told, "narrative_id long, drug_name string, engine string, narrative string").write.parquet(f"{tmp_path}/narratives.parquet")
+    spark.createDataFrame([(0, "aspirin")], "ord int, name string").write.parquet(f"{tmp_path}/drug_lex.parquet")
+    spark.createDataFrame([(0, "rash")], "ord int, term string").write.parquet(f"{tmp_path}/reaction_lex.parquet")
+    redacted = {r.narrative_id: r.redacted for r in known["deid_redact_stored"](spark, str(tmp_path)).collect()}
+    assert redacted == {i: t for i, *_, t in told}
+    # a letter with an accent is part of the word: no whole word in the second
+    assert [(r.narrative_id, r.reaction) for r in known["reactions_aware_stored"](spark, str(tmp_path)).collect()] == [(1, "rash")]
+
+    items = "Vómitos intensos\u00a0graves;\u3000Éruption étendue.\u2003Then more headache"
+    sf = _label_table(spark, tmp_path, (1, {"adverse_reactions": [items], "warnings": [thai]}))
+    assert {r.item for r in known["label_ar_items_stored"](spark, sf).collect()} == {"Vómitos intensos\u00a0graves", "Éruption étendue"}
+    assert {(r.section, r.text) for r in known["label_sections_stored"](spark, sf).collect()} >= {("Warnings", thai)}
