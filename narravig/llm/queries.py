@@ -145,15 +145,20 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return _levels(spark, sf, docs).where("band IS NOT NULL").select("doc_id", "band").distinct()
 
 
+def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Score and band of every document with words, in any language."""
+    docs = read(spark, sf, "documents", "doc_id", "text", "source", "lang")
+    return _levels(spark, sf, docs, "source", "lang").where("band IS NOT NULL").distinct()
+
+
 def p10_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Documents, mean score and share of each band by source."""
-    docs = read(spark, sf, "documents", "doc_id", "text", "source", "lang").where("lang = 'en'")
-    scored = _levels(spark, sf, docs, "source").where("band IS NOT NULL")
+    scored = p10_scores(spark, sf)
     share = lambda b: F.avg((F.col("band") == b).cast("double")).alias(f"share_{b}")
     return scored.groupBy("source").agg(F.count("*").alias("docs"), F.avg("score").alias("mean_score"), share(1), share(2), share(3))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_redacted, p4_found, p4_unmatched, p7_found, p7_documents, p8_ids, p9_assignments, p9_fill, p10_found, p10_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_redacted, p4_found, p4_unmatched, p7_found, p7_documents, p8_ids, p9_assignments, p9_fill, p10_found, p10_scores, p10_profile)}
 
 SQL = {
     "p1_found": """

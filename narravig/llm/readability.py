@@ -1,10 +1,13 @@
-"""Reading level of English texts by boosted regression trees.
+"""Reading level of texts by boosted regression trees fitted on English passages.
 
 Features are distributions of length, vocabulary, syntax and cohesion, taken over the whole text and, so that a few
 foreign sentences don't sway them, as quantiles over its sentences. The trees are fitted on the labelled passages and on
 resamples of their sentences; out-of-fold predictions, with a passage's resamples held out together, calibrate the
 score (monotone, by pooling adjacent violators) and place the borders between bands.
 
+Texts mostly in another script are read in it; for languages other than English the score is a transfer of what English
+passages taught and was not validated.
+
 Defined results: null, empty and wordless texts have no score (null band); texts of any length are read whole; equal
 texts get equal bands; without labelled passages of two bands the fit fails with a message; extra columns are ignored.
 """
@@ -28,6 +31,12 @@ TOGETHER = 256
 STRAY = re.compile(r"<[^<>]{0,20}>|[​-‏⁠﻿­]|[^\x00-ɏ‐-…]")
 WORD = re.compile(r"[A-Za-z][A-Za-z'’-]*")
 SENTENCE = re.compile(r"(?<=[.!?])[\s\"'”)]+|\n+")
+#: Letters of other scripts, with the vowel signs of Indic ones and Thai; and what such texts are read by.
+OTHER = re.compile(r"[\u0370-\u1fff\u2c00-\u2dff\u3040-\ud7ff\uf900-\ufaff]")
+LATIN = re.compile(r"[A-Za-z\u00c0-\u024f]")
+MARKS = re.compile(r"<[^<>]{0,20}>|[\u200b-\u200f\u2060\ufeff\u00ad]")
+ANY = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]{1,2}|[\u0e01-\u0e4e]{1,4}|(?:(?![\u0e00-\u0e7f\u0964\u0965\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\d_])[\w\u0900-\u0dff])+")
+SENTENCE_OF_ANY = re.compile(r"(?<=[.!?])[\s\"'”)]+|(?<=[。！？।॥؟])[\s」』）”]*|\n+")
 PERSON = frozenset("i me my mine you your yours he him his she her we us our they them their it".split())
 GLUE = frozenset("and but so then or because if when after before until".split())
 COMPLEX = frozenset("although whereas which whether notwithstanding thereby while despite whom whose unless however therefore".split())
@@ -37,10 +46,20 @@ VOWELS = re.compile(r"[aeiouy]+")
 
 
 def sentences(text: str) -> list[str]:
+    """The sentences of a text; one with more letters of other scripts than Latin ones keeps them."""
+    other = len(OTHER.findall(text))
+    if other and other > len(LATIN.findall(text)):
+        text = re.sub(r"[^\S\n]+", " ", MARKS.sub("", text))
+        return [s for s in SENTENCE_OF_ANY.split(text) if ANY.search(s)]
     text = re.sub(r"[^\S\n]+", " ", STRAY.sub("", text))
     return [s for s in SENTENCE.split(text) if WORD.search(s)]
 
 
+def words_of(sentence: str) -> list[str]:
+    """Words; beside other scripts' letters all count, an ideograph pair or four Thai letters as a word, for want of spaces."""
+    return ANY.findall(sentence) if OTHER.search(sentence) else WORD.findall(sentence)
+
+
 def _word(word: str) -> tuple[float, ...]:
     """What one word adds to the shares of its sentence."""
     low, size = word.lower(), len(word)
@@ -71,7 +90,7 @@ def tables(parts: list[str]) -> tuple[np.ndarray, list[set[str]]]:
     """
     rows, bags, sizes, extra = [], [], [], []
     for s in parts:
-        words = WORD.findall(s)
+        words = words_of(s)
         for w in words:
             row = _WORDS.get(w)
             if row is None:

@@ -281,3 +281,20 @@ def test_levels(spark):
     with pytest.raises(ValueError):
         readability.Model([("One band.", 1)])
     assert np.isnan(model.score([None])[0])
+
+
+def test_every_script_has_a_level(spark, tmp_path):
+    from narravig.llm import queries
+
+    texts = ["这种药可能引起头痛。请咨询医生。", "यह दवा सिरदर्द का कारण बन सकती है। डॉक्टर से पूछें।", "ยานี้อาจทำให้ปวดศีรษะ ควรปรึกษาแพทย์", "Die Tablette hilft gut. Fragen Sie den Arzt.", "Take it. Rest.", "1 2 3", None]
+    assert [len(readability.sentences(t)) for t in texts[:5]] == [2, 2, 1, 2, 2]
+    assert readability.words_of("यह दवा") == ["यह", "दवा"] and readability.words_of("naïve rash") == readability.WORD.findall("naïve rash")
+    # a few foreign letters in an English text are still left out
+    assert readability.sentences("Take it with water 水 daily.") == ["Take it with water daily."]
+    langs = ["zh", "hi", "th", "de", None, "en", "en"]
+    docs = [(i, t, lang, "s") for i, (t, lang) in enumerate(zip(texts, langs))]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    samples = [(i, "The cat sat down. You can rest." if b == 1 else "Pharmacokinetic investigations demonstrated considerable hepatotoxicity.", b) for i, b in enumerate([1, 3] * 6)]
+    spark.createDataFrame(samples, "sample_id long, text string, band int").write.parquet(f"{tmp_path}/level_samples.parquet")
+    assert {r.doc_id for r in queries.p10_scores(spark, str(tmp_path)).collect()} == {0, 1, 2, 3, 4}
+    assert queries.p10_profile(spark, str(tmp_path)).first().docs == 5
