@@ -7,8 +7,10 @@ paragraphs), and the words that start sentences. Each period is then judged by t
 Quotations and brackets that are closed again hold no boundary inside; paragraphs, bulleted lines and numbered
 headings bound sentences; ideographic and danda stops always end one; in Thai, spaces between longer phrases do.
 
-Defined results: null and blank texts give no row; every other text gives at least one; a text in an unknown language
-or one that the counts don't hold is split by the rules alone; equal texts are split equally; repeated rows are
+A text without a language counts for, and is cut by, the statistics of all languages pooled.
+
+Defined results: null and blank texts give no row; every other text gives at least one; a text in a language
+that the counts don't hold is split by the rules alone; equal texts are split equally; repeated rows are
 reported once; texts of any length are read whole in one pass; extra columns are not looked at.
 """
 
@@ -33,6 +35,8 @@ SEEN = 3
 #: Significance of a log-likelihood ratio (0.5 %), and the bound of the abbreviation score.
 RATIO, ABBREVIATION = 7.88, 0.3
 
+#: The statistics of all texts together, for those without a language.
+POOLED = "*"
 NUMBER = "##"
 OPEN = "\"'“„‘«‹「『(（[【〈《¿¡"
 CLOSE = "\"'”“’»›」』)）]】〉》"
@@ -50,8 +54,8 @@ def counts(texts: DataFrame) -> DataFrame:
     kind ``p``: words before periods: a with a period, b without, c at a paragraph's end, d before a small letter.
     kind ``s``: words after something: a opening a sentence for certain, b inside one, c inside one with a small letter.
     """
-    spaced = texts.where("lang IS NOT NULL AND lang NOT IN ('zh', 'ja', 'th')")
-    block = spaced.select("lang", F.explode(F.split("text", r"\n\s*\n")).alias("block"))
+    spaced = texts.where("lang IS NULL OR lang NOT IN ('zh', 'ja', 'th')")
+    block = spaced.select(F.coalesce("lang", F.lit(POOLED)).alias("lang"), F.explode(F.split("text", r"\n\s*\n")).alias("block"))
     words = F.filter(F.split("block", r"[\s\u00a0\u202f\u3000]+"), lambda w: w != "")
     block = block.select("lang", words.alias("w")).where(F.size("w") > 0)
     none = F.array(F.lit(None).cast("string"))
@@ -95,6 +99,8 @@ def counts(texts: DataFrame) -> DataFrame:
     )
     rows = kinds.select("lang", F.explode(F.array(as_before, as_after)).alias("r")).select("lang", "r.*").where("word <> ''")
     sums = rows.groupBy("lang", "kind", "word").agg(*(F.sum(c).alias(c) for c in "abcd"))
+    both = F.explode(F.array_distinct(F.array("lang", F.lit(POOLED)))).alias("lang")
+    sums = sums.select(both, "kind", "word", *"abcd").groupBy("lang", "kind", "word").agg(*(F.sum(c).alias(c) for c in "abcd"))
     # totals of each language as word '' (the sums of all words, rare ones too)
     totals = sums.groupBy("lang", "kind").agg(*(F.sum(c).alias(c) for c in "abcd")).withColumn("word", F.lit(""))
     kept = sums.where((F.col("kind") == "p") & (F.col("a") >= SEEN) | (F.col("kind") == "s") & (F.col("a") + F.col("b") >= SEEN))
@@ -354,8 +360,7 @@ class Learned:
         self.languages: dict[str, Language] = {}
 
     def of(self, name: str | None) -> Language:
-        if name is None:
-            return NOTHING
+        name = POOLED if name is None else name
         if name not in self.languages:
             if self.rows is not None:
                 mine = [r[1:] for r in self.rows if r[0] == name]

@@ -298,3 +298,11 @@ def test_every_script_has_a_level(spark, tmp_path):
     spark.createDataFrame(samples, "sample_id long, text string, band int").write.parquet(f"{tmp_path}/level_samples.parquet")
     assert {r.doc_id for r in queries.p10_scores(spark, str(tmp_path)).collect()} == {0, 1, 2, 3, 4}
     assert queries.p10_profile(spark, str(tmp_path)).first().docs == 5
+
+
+def test_sentences_without_a_language_use_all_counts(spark, learned):
+    text = "Dr. Orvik slept. He woke."
+    assert sentences.starts(text, learned.of(None), None) == [0, 17]
+    # texts without a language are counted too
+    alone = sentences.learn(spark.createDataFrame([(None, t) for lang, t in CORPUS * 12 if lang == "en"], "lang string, text string"))()
+    assert sentences.starts(text, alone.of(None), None) == [0, 17]
