@@ -20,7 +20,8 @@ def flat_map(
 ) -> DataFrame:
     """Rows that the function from ``make()`` yields for each row's ``columns``.
 
-    ``make`` runs once per task, so that it can build tables there. Output leaves in batches of at most
+    ``make`` runs once per task, so that it can build tables there; if what it gives has an attribute ``ahead``, that is called
+    with the rows of each batch before they are worked on. Output leaves in batches of at most
     ``flush_rows`` rows or about ``flush_chars`` characters, so that long texts don't pile up in a worker.
     """
     kind = StructType.fromDDL(schema)
@@ -38,7 +39,10 @@ def flat_map(
         rows: list[tuple] = []
         size = 0
         for b in batches:
-            for values in zip(*(b.column(i).to_pylist() for i in range(b.num_columns))):
+            given = list(zip(*(b.column(i).to_pylist() for i in range(b.num_columns))))
+            if hasattr(each, "ahead"):
+                each.ahead(given)
+            for values in given:
                 for row in each(*values):
                     rows.append(row)
                     size += sum(len(row[i]) for i in texts if row[i] is not None)

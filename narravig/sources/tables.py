@@ -34,6 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of ours, wherever it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df`` with its lineage cut, kept in the shared folder."""
     shared_dir(df.sparkSession)
