@@ -1,11 +1,11 @@
 """Filling containers of one capacity with items, as fully as possible.
 
-Items go to groups by hash, about GROUP_ITEMS each, so that no task gets more. A group is packed by best fit
-(decreasing) first. If that needs more containers than the lower bound, the emptiest containers are opened and their
-items packed again by bin completion: around the largest item left, undominated fillings are enumerated (a filling is
-dominated if its items fit, as whole, into the items of another), branches are cut by the waste that a better packing may
-still have, and the best fit stays the incumbent. Containers that are not yet full enough then move, with their items,
-to a next round with fewer groups, until one group holds them all or a round saves nothing.
+Items go to groups by hash, about GROUP_ITEMS each, so that no task gets more. A group is packed by bin completion:
+around the largest item left, undominated fillings are enumerated (a filling is dominated if its items fit, as whole,
+into the items of another) and tried from the fullest on; a branch ends when its containers have left more empty than
+the wanted number allows. The wanted number starts at the lower bound and ends at that of best fit decreasing, the
+incumbent, which stands if the search finds none in NODES steps. Containers that are not yet full enough then move, with
+their items, to a next round with fewer groups, until one group holds them all or a round saves nothing.
 
 Defined results: an item above the capacity is cut into full pieces and a rest, the only items ever cut; items of size
 null, zero or less are not placed; ties go by id; repeated rows are one item; an empty table gives an empty result.
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from narravig.sources.tables import cut
 
 GROUP_ITEMS = 5000
-#: Search nodes of one bin completion, and items it takes at most; beyond them the incumbent stands.
-NODES, SEARCH_ITEMS = 4000, 48
+#: Steps in enumerating one container's fillings, and of one search; after the latter the incumbent, best fit, stands.
+STEPS, NODES = 400, 400_000
 #: Share of the capacity from which a container is closed after a round.
 CLOSED = 0.995
 
@@ -65,89 +65,122 @@ def lower_bound(sizes: list[int], capacity: int) -> int:
 
 
 def fits_inside(small: tuple[int, ...], large: tuple[int, ...]) -> bool:
-    """Whether the items of ``small`` can be put into the items of ``large`` as if those were containers."""
-    if not small:
-        return True
-    first, rest = small[0], small[1:]
-    for j, room in enumerate(large):
-        if room >= first and fits_inside(rest, tuple(sorted((*large[:j], room - first, *large[j + 1 :]), reverse=True))):
-            return True
-    return False
-
-
-def fillings(rest: list[int], room: int, most: int = 40) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` from ``rest`` (descending), the fullest first; as tuples of sizes."""
-    found: dict[tuple[int, ...], None] = {}
-
-    def grow(start: int, left: int, chosen: tuple[int, ...]) -> None:
-        if len(found) >= 8 * most:
-            return
-        maximal, last = True, None
-        for j in range(start, len(rest)):
-            if rest[j] <= left:
-                maximal = False
-                if rest[j] != last:
-                    last = rest[j]
-                    grow(j + 1, left - rest[j], (*chosen, rest[j]))
-        if maximal:
-            found[chosen] = None
-
-    grow(0, room, ())
-    ordered = sorted(found, key=lambda f: (-sum(f), len(f)))[: 3 * most]
+    """Whether first fit puts the items of ``small`` (descending) into those of ``large`` as if these were containers.
+
+    If so, ``large`` dominates. First fit may miss a way, which keeps a dominated filling and costs time only.
+    """
+    if sum(small) > sum(large):
+        return False
+    rooms = list(large)
+    for item in small:
+        at = next((j for j, room in enumerate(rooms) if room >= item), None)
+        if at is None:
+            return False
+        rooms[at] -= item
+    return True
+
+
+def fillings(sizes: list[int], counts: list[int], room: int, slack: int, steps: int = STEPS) -> tuple[list[tuple[int, ...]], int]:
+    """Undominated maximal fillings of ``room`` that leave at most ``slack`` of it empty, the fullest first, and the steps taken.
+
+    ``sizes`` are distinct and ascending, ``counts`` how many of each are left. Items are chosen from large to small,
+    so each filling comes up once. The enumeration ends with the first that leaves nothing empty, or after ``steps``.
+    """
+    chosen: list[int] = []
+    found: dict[tuple[int, ...], int] = {}
+    taken = 0
+    at, left = bisect_right(sizes, room) - 1, room
+    while True:
+        taken += 1
+        while at >= 0 and not counts[at]:
+            at -= 1
+        if at >= 0:
+            # take the largest that fits, go on below
+            counts[at] -= 1
+            chosen.append(at)
+            left -= sizes[at]
+            at = min(at, bisect_right(sizes, left) - 1)
+            continue
+        if left <= slack and all(not n or s > left for s, n in zip(sizes[: bisect_right(sizes, left)], counts)):
+            found[tuple(sizes[i] for i in chosen)] = left
+            if not left:
+                break
+        if not chosen or taken >= steps:
+            break
+        # the last one is given back, the next smaller one tried
+        at = chosen.pop()
+        counts[at] += 1
+        left += sizes[at]
+        at -= 1
+    for i in chosen:
+        counts[i] += 1
     kept: list[tuple[int, ...]] = []
-    for f in ordered:
-        if not any(len(f) <= 6 and fits_inside(f, g) for g in kept if g != f):
+    for f in sorted(found, key=lambda f: (found[f], len(f))):
+        if not any(fits_inside(f, g) for g in kept):
             kept.append(f)
-    return kept[:most]
-
-
-def complete(sizes: list[int], capacity: int, incumbent: int) -> list[list[int]] | None:
-    """A packing into fewer than ``incumbent`` containers, as lists of sizes, or None."""
-    bound, total = lower_bound(sizes, capacity), sum(sizes)
-    best: list[list[int]] | None = None
-    limit, nodes = incumbent, 0
-
-    def search(left: list[int], done: list[list[int]], waste: int) -> None:
-        nonlocal best, limit, nodes
-        nodes += 1
-        if not left:
-            best, limit = [list(b) for b in done], len(done)
-            return
-        if nodes > NODES or len(done) + ceil(sum(left) / capacity) >= limit or waste > (limit - 1) * capacity - total:
-            return
-        first, rest = left[0], left[1:]
-        for filling in fillings(rest, capacity - first):
-            after = list(rest)
-            for s in filling:
-                after.remove(s)
-            free = capacity - first - sum(filling)
-            search(after, [*done, [first, *filling]], waste + free)
-            if limit <= bound or nodes > NODES:
-                return
-
-    search(sorted(sizes, reverse=True), [], 0)
-    return best
-
-
-def pack(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Containers as lists of indexes into ``sizes``; every size is between 1 and the capacity."""
-    bins = best_fit(sizes, capacity)
-    if not bins or len(bins) == lower_bound(sizes, capacity):
-        return bins
-    bins.sort(key=lambda b: sum(sizes[i] for i in b), reverse=True)
-    opened: list[int] = []
-    while bins and len(opened) + len(bins[-1]) <= SEARCH_ITEMS:
-        opened += bins.pop()
-    if not opened:
-        return bins
-    old = best_fit([sizes[i] for i in opened], capacity)
-    better = complete([sizes[i] for i in opened], capacity, len(old))
-    if better is None:
-        return bins + [[opened[i] for i in b] for b in old]
-    by_size: dict[int, list[int]] = {}
-    for i in opened:
-        by_size.setdefault(sizes[i], []).append(i)
-    return bins + [[by_size[s].pop() for s in b] for b in better]
+    return kept, taken
+
+
+def complete(sizes: list[int], capacity: int, most: int, nodes: int = NODES) -> tuple[list[tuple[list[int], int]] | None, int]:
+    """A packing into at most ``most`` containers, as (sizes, steps of its fillings), and all steps; None if ``nodes`` steps found none.
+
+    Each container is completed around the largest item left. What the containers may leave empty together is bound by
+    ``most``; a branch that has left more is cut.
+    """
+    distinct = sorted(set(sizes))
+    counts = [0] * len(distinct)
+    for s in sizes:
+        counts[bisect_left(distinct, s)] += 1
+    slack, remaining, spent = most * capacity - sum(sizes), len(sizes), 0
+    #: (filling with its largest item, its empty room, steps, the fillings still to try)
+    stack: list[tuple[tuple[int, ...], int, int, list[tuple[int, ...]]]] = []
+
+    def put(filling: tuple[int, ...], sign: int) -> None:
+        nonlocal remaining
+        for s in filling:
+            counts[bisect_left(distinct, s)] -= sign
+        remaining -= sign * len(filling)
+
+    if slack < 0:
+        return None, 0
+    while remaining:
+        top = next(i for i in reversed(range(len(counts))) if counts[i])
+        counts[top] -= 1
+        options, steps = fillings(distinct, counts, capacity - distinct[top], slack)
+        counts[top] += 1
+        spent += steps
+        todo = [(distinct[top], *f) for f in reversed(options)]
+        while not todo or spent > nodes:
+            if not stack or spent > nodes:
+                return None, spent
+            last, empty, _, todo = stack.pop()
+            put(last, -1)
+            slack += empty
+        best = todo.pop()
+        empty = capacity - sum(best)
+        put(best, 1)
+        slack -= empty
+        stack.append((best, empty, steps, todo))
+    return [(list(f), steps) for f, _, steps, _ in stack], spent
+
+
+def pack(sizes: list[int], capacity: int) -> tuple[list[tuple[list[int], int]], int]:
+    """Containers as (indexes into ``sizes``, search steps; 0 if best fit made it), and all search steps.
+
+    Every size is between 1 and the capacity. The search is asked for the lower bound, then for one container more at a
+    time, up to the incumbent's number; the incumbent, best fit, stands only where the search ends without a packing.
+    """
+    incumbent = best_fit(sizes, capacity)
+    spent = 0
+    for most in range(lower_bound(sizes, capacity), len(incumbent) + 1):
+        better, steps = complete(sizes, capacity, most)
+        spent += steps
+        if better is not None:
+            by_size: dict[int, list[int]] = {}
+            for i in reversed(range(len(sizes))):
+                by_size.setdefault(sizes[i], []).append(i)
+            return [([by_size[s].pop() for s in b], n) for b, n in better], spent
+    return [(b, 0) for b in incumbent], spent
 
 
 ITEM = "id long, piece long, size long"
@@ -159,22 +192,22 @@ def _packer(level: int, capacity: int):
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["size", "id", "piece"], ascending=[False, True, True], ignore_index=True)
         sizes, tag = group["size"].tolist(), group["tag"].iat[0]
-        bins = pack(sizes, capacity)
-        out = [(i, f"{level}-{tag}-{k}", sum(sizes[j] for j in b)) for k, b in enumerate(bins) for i in b]
-        return group.drop(columns="tag").join(pd.DataFrame(out, columns=["i", "container", "fill"]).set_index("i"))
+        bins, _ = pack(sizes, capacity)
+        out = [(i, f"{level}-{tag}-{k}", sum(sizes[j] for j in b), n) for k, (b, n) in enumerate(bins) for i in b]
+        return group.drop(columns="tag").join(pd.DataFrame(out, columns=["i", "container", "fill", "nodes"]).set_index("i"))
 
     return one
 
 
 def containers(sized: DataFrame, key: str, size: str, capacity: int, group_items: int = GROUP_ITEMS) -> DataFrame:
-    """id, piece, size, container (text key) for every item; see the module for how and for the defined cases."""
+    """id, piece, size, container (text key), nodes (search steps of the container's filling) for every item."""
     sized = sized.select(F.col(key).cast("long").alias("id"), F.col(size).cast("long").alias("size")).where("size > 0").distinct()
     count = F.ceil(F.col("size") / F.lit(capacity)).cast("long")
     items = sized.select("id", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("piece"), F.col("size").alias("whole"))
     items = cut(
         items.select("id", "piece", F.least(F.lit(capacity).cast("long"), F.col("whole") - F.col("piece") * capacity).alias("size"))
     )
-    full = items.where(F.col("size") == capacity).select("*", F.concat(F.lit("full-"), "id", F.lit("-"), "piece").alias("container"))
+    full = items.where(F.col("size") == capacity).select("*", F.concat(F.lit("full-"), "id", F.lit("-"), "piece").alias("container"), F.lit(0).cast("long").alias("nodes"))
     left, done, level = items.where(F.col("size") < capacity), [full], 0
     before = None
     while (n := left.count()) > 0:
@@ -182,11 +215,11 @@ def containers(sized: DataFrame, key: str, size: str, capacity: int, group_items
         tag = F.pmod(F.xxhash64("id", "piece", F.lit(level)), F.lit(groups)).cast("long")
 
         packed = cut(
-            left.withColumn("tag", tag).groupBy("tag").applyInPandas(_packer(level, capacity), f"{ITEM}, container string, fill long")
+            left.withColumn("tag", tag).groupBy("tag").applyInPandas(_packer(level, capacity), f"{ITEM}, container string, fill long, nodes long")
         )
         last = groups == 1 or before is not None and groups >= before
         closed = packed if last else packed.where(F.col("fill") >= CLOSED * capacity)
-        done.append(closed.select("id", "piece", "size", "container"))
+        done.append(closed.select("id", "piece", "size", "container", "nodes"))
         if last:
             break
         left = packed.where(F.col("fill") < CLOSED * capacity).select("id", "piece", "size")
