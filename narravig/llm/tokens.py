@@ -1,8 +1,8 @@
 """Token ids of whole texts by a public byte-level BPE vocabulary, exact and in linear time.
 
-A piece is encoded by walking over it with the longest token that matches at each place (a trie over all tokens
-finds it, and each token knows the longest token that is its own prefix). A token may only follow another if merging
-would keep the two apart, which a table of pairs decides; where it may not, the encoder goes back to a shorter token.
+A piece is encoded by walking over it with the longest token that matches at each place. An Aho-Corasick automaton over
+all tokens, spelled backwards, finds these for all places in one run over the piece, read backwards; each token also knows
+the longest token that is its own prefix. A token may only follow another if merging would keep the two apart, which a table of pairs decides; where it may not, the encoder goes back to a shorter token.
 Places found to be dead ends are marked, so no place is tried twice. Merges made this way equal those of the
 rank-by-rank rule. Decoding cuts the tokens out of one byte string by a table of offsets.
 
@@ -44,11 +44,12 @@ class Encoder:
         self.bytes = b"".join(tokens)
         #: Keys are latin-1 strings: one character a byte.
         self.ids = {token.decode("latin-1"): n for n, token in enumerate(tokens)}
-        self.trie = ahocorasick.Automaton()
-        for token, n in self.ids.items():
-            self.trie.add_word(token, n)
         self.length = [len(token) for token in tokens]
         self.shorter = [self._prefix(token.decode("latin-1")) for token in tokens]
+        self.automaton = ahocorasick.Automaton()
+        for token, n in self.ids.items():
+            self.automaton.add_word(token[::-1], n)
+        self.automaton.make_automaton()
         self.left, self.right = list(range(len(tokens))), list(range(len(tokens)))
         self.merged: dict[tuple[int, int], int] = {}
         for n, token in enumerate(tokens):
@@ -65,27 +66,16 @@ class Encoder:
 
     def _prefix(self, token: str) -> int:
         """The longest token that is a proper prefix of this one, or -1."""
-        n = len(token) - 1
-        while n > 0:
-            n = self.trie.longest_prefix(token[:n])
-            if n and token[:n] in self.ids:
-                return self.ids[token[:n]]
-            n -= 1
-        return -1
-
-    def longest(self, text: str, start: int) -> int:
-        n = self.longest_length
-        piece = text[start : start + n]
-        n = self.trie.longest_prefix(piece)
-        while piece[:n] not in self.ids:
-            n -= 1
-        return self.ids[piece[:n]]
-
-    @property
-    def longest_length(self) -> int:
-        if not hasattr(self, "_longest"):
-            self._longest = max(self.length)
-        return self._longest
+        return next((self.ids[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in self.ids), -1)
+
+    def longest(self, text: str) -> list[int]:
+        """For each place of a piece the longest token that starts there."""
+        out, last = [-1] * len(text), len(text) - 1
+        # of the tokens that end at a place the automaton gives the longest first
+        for end, n in self.automaton.iter(text[::-1]):
+            if out[last - end] < 0:
+                out[last - end] = n
+        return out
 
     def stay_apart(self, a: int, b: int) -> bool:
         """Whether merging leaves a border between tokens a and b: no merge across it comes before theirs."""
@@ -116,7 +106,8 @@ class Encoder:
         n, at = len(text), 0
         dead = bytearray(n + 1)
         out: list[int] = []
-        token = self.longest(text, 0)
+        at_place = self.longest(text)
+        token = at_place[0]
         length, shorter, apart = self.length, self.shorter, self.stay_apart
         while True:
             end = at + length[token]
@@ -125,7 +116,7 @@ class Encoder:
                 at = end
                 if at == n:
                     return out
-                token = self.longest(text, at)
+                token = at_place[at]
             elif shorter[token] >= 0:
                 token = shorter[token]
             else:
