@@ -1,9 +1,10 @@
 """Sentence boundaries in many languages, with abbreviations learned from the corpus itself.
 
 Counts over every text, by language: how often a word stands with and without a period, with a period at the end of a
-paragraph, and before a small letter; and how often a word opens a sentence for certain or stands inside one. From these
-come, by log-likelihood ratios, the abbreviations, those of them that never end a sentence (they shun the ends of
-paragraphs), and the words that start sentences. Each period is then judged by the word before and the word after it.
+paragraph, and before a small letter; how often a word opens a sentence for certain or stands inside one; and how often
+two words stand on either side of a period. From these come, by log-likelihood ratios, the abbreviations, those of them
+that never end a sentence (they shun the ends of paragraphs), the words that start sentences, and the collocations: pairs
+that belong together across the period. Each period is then judged by the word before and the word after it.
 Quotations and brackets that are closed again hold no boundary inside; paragraphs, bulleted lines and numbered
 headings bound sentences; ideographic and danda stops always end one; in Thai, spaces between longer phrases do.
 
@@ -18,19 +19,20 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable
+from bisect import bisect_right
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 from math import exp, log
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narravig.functions.arrowmap import flat_map
-from narravig.sources.tables import shared_dir
+from narravig.sources.tables import remove, shared_dir
 
-#: Up to so many counted words travel by broadcast (some 60 bytes each); beyond, workers read their language's file.
+#: Up to so many counted words travel by broadcast (some 60 bytes each); beyond, workers read those that a batch of texts holds.
 BROADCAST_WORDS = 300_000
-#: A word is counted from so many sightings; with fewer no ratio below reaches its bound.
+#: A word or pair is judged from so many sightings; rarer ones go by the rules for unknown words.
 SEEN = 3
 #: Significance of a log-likelihood ratio (0.5 %), and the bound of the abbreviation score.
 RATIO, ABBREVIATION = 7.88, 0.3
@@ -44,7 +46,7 @@ PAIRS = {"(": ")", "（": "）", "[": "]", "【": "】", "«": "»", "‹": "›
 STOPS = ".!?…。！？｡।॥؟։"
 WIDE = "。！？｡।॥"
 BULLET = re.compile(r"[^\S\n]*(?:[•‣▪●○◦■□*·–—-][^\S\n]+)")
-HEADING = re.compile(r"[^\S\n]*\d+(?:\.\d+)*(?P<stop>\.?)[^\S\n]+[^\W\d_a-z][^.!?\n]{0,90}$", re.M)
+HEADING = re.compile(r"[^\S\n]*\d+(?:\.\d+)*(?P<stop>\.?)[^\S\n]+[^\W\d_a-z][^.!?\n]*$", re.M)
 THAI = re.compile(r"[฀-๿]")
 
 
@@ -53,6 +55,7 @@ def counts(texts: DataFrame) -> DataFrame:
 
     kind ``p``: words before periods: a with a period, b without, c at a paragraph's end, d before a small letter.
     kind ``s``: words after something: a opening a sentence for certain, b inside one, c inside one with a small letter.
+    kind ``c``: pairs of words, parted by a space, with a period between: a how often.
     """
     spaced = texts.where("lang IS NULL OR lang NOT IN ('zh', 'ja', 'th')")
     block = spaced.select(F.coalesce("lang", F.lit(POOLED)).alias("lang"), F.explode(F.split("text", r"\n\s*\n")).alias("block"))
@@ -72,13 +75,17 @@ def counts(texts: DataFrame) -> DataFrame:
     first = F.substring("after", 1, 1)
     small = first.between("a", "z") | ~first.between("A", "Z") & ~first.between("0", "9") & is_small(first)
     follow = F.when(F.col("after").isNull(), 1).when(small & ~is_large(F.substring("after", 2, 1)), 2).otherwise(0)
-    kinds = each.select("lang", "word", place.alias("place"), follow.alias("follow"))
-    kinds = kinds.groupBy("lang", "word", "place", "follow").agg(F.count("*").alias("n"))
-    core = F.trim(F.col("word"), F.lit(OPEN + CLOSE + ",;:"))
     # a stop before a closing sign tells nothing about the word
     full = F.col("word").endswith(".") & ~F.col("word").endswith("..")
-    base = F.lower(F.rtrim(core, F.lit(".!?…")))
-    base = F.when(F.translate(base, "0123456789.,:", "") == "", NUMBER).otherwise(base)
+    kinds = each.select("lang", "word", place.alias("place"), follow.alias("follow"), F.when(full, F.col("after")).alias("next"))
+    kinds = kinds.groupBy("lang", "word", "place", "follow", "next").agg(F.count("*").alias("n"))
+    core = F.trim(F.col("word"), F.lit(OPEN + CLOSE + ",;:"))
+
+    def based(c: Column) -> Column:
+        low = F.lower(F.rtrim(F.trim(c, F.lit(OPEN + CLOSE + ",;:")), F.lit(".!?…")))
+        return F.when(F.translate(low, "0123456789.,:", "") == "", NUMBER).otherwise(low)
+
+    base = based(F.col("word"))
     n = F.col("n")
     if_ = lambda c: F.when(c, n).otherwise(0)
     as_before = F.struct(
@@ -97,13 +104,15 @@ def counts(texts: DataFrame) -> DataFrame:
         if_((F.col("place") == 2) & is_small(F.substring(core, 1, 1))).alias("c"),
         F.lit(0).cast("long").alias("d"),
     )
-    rows = kinds.select("lang", F.explode(F.array(as_before, as_after)).alias("r")).select("lang", "r.*").where("word <> ''")
+    none = (F.lit(0).cast("long").alias(c) for c in "bcd")
+    as_pair = F.struct(F.lit("c").alias("kind"), F.concat(base, F.lit(" "), based(F.col("next"))).alias("word"), n.alias("a"), *none)
+    rows = kinds.select("lang", F.explode(F.array(as_before, as_after, as_pair)).alias("r")).select("lang", "r.*").where("word <> ''")
     sums = rows.groupBy("lang", "kind", "word").agg(*(F.sum(c).alias(c) for c in "abcd"))
     both = F.explode(F.array_distinct(F.array("lang", F.lit(POOLED)))).alias("lang")
     sums = sums.select(both, "kind", "word", *"abcd").groupBy("lang", "kind", "word").agg(*(F.sum(c).alias(c) for c in "abcd"))
     # totals of each language as word '' (the sums of all words, rare ones too)
     totals = sums.groupBy("lang", "kind").agg(*(F.sum(c).alias(c) for c in "abcd")).withColumn("word", F.lit(""))
-    kept = sums.where((F.col("kind") == "p") & (F.col("a") >= SEEN) | (F.col("kind") == "s") & (F.col("a") + F.col("b") >= SEEN))
+    kept = sums.where(F.col("kind").isin("p", "c") & (F.col("a") >= SEEN) | (F.col("kind") == "s") & (F.col("a") + F.col("b") >= SEEN))
     return kept.unionByName(totals)
 
 
@@ -124,13 +133,25 @@ def _ratio(k1: float, n1: float, k2: float, n2: float) -> float:
 class Language:
     """What the counts of one language say about words."""
 
-    def __init__(self, before: dict[str, tuple], after: dict[str, tuple]):
-        self.before, self.after = before, after
+    def __init__(self, before: dict[str, tuple], after: dict[str, tuple], pairs: dict[str, tuple] | None = None):
+        self.before, self.after, self.pairs = before, after, pairs or {}
         self.total, self.opening = before.get("", (0, 0, 0, 0)), after.get("", (0, 0, 0, 0))
         self.never_final = lru_cache(100_000)(self._never_final)
         self.abbreviation = lru_cache(100_000)(self._abbreviation)
         self.starter = lru_cache(100_000)(self._starter)
 
+    def collocation(self, word: str, following: str) -> bool:
+        """Whether the two belong together across a period: the first hardly stands without one and hardly ends paragraphs,
+        the second follows it more often than chance would have it, and isn't known to start sentences."""
+        together = self.pairs.get(f"{word} {following}")
+        if together is None:
+            return False
+        a, b, _, _ = self.before.get(word, (0, 0, 0, 0))
+        if a <= b or self.often_final(word) or self.starter(following):
+            return False
+        n, (opens, inside, _, _) = sum(self.opening[:2]), self.after.get(following, (0, 0, 0, 0))
+        return _ratio(together[0], a, max(opens + inside - together[0], 0), max(n - a, 1)) >= RATIO
+
     def _never_final(self, word: str) -> bool:
         a, _, c, d = self.before.get(word, (0, 0, 0, 0))
         if a < SEEN:
@@ -217,14 +238,19 @@ def spans(text: str) -> list[tuple[int, int]]:
     return outer
 
 
+OPENED = re.compile(rf"([{re.escape(OPEN)}]*)([^\s]*)")
+
+
 def _first(text: str, i: int, end: int) -> tuple[str, str]:
     """Opening signs and the word that begin at i."""
-    m = re.compile(rf"([{re.escape(OPEN)}]*)([^\s]*)").match(text, i, end)
+    m = OPENED.match(text, i, end)
     return m[1], m[2]
 
 
 STOP = re.compile(rf"[{STOPS}]+")
-WORD_BEFORE = re.compile(r"[^\s\"'“„‘«‹「『(（\[【〈《¿¡/]*$")
+CLOSERS = re.compile(rf"(?:[^\S\n]?[»›]|[{re.escape(CLOSE)}])*")
+SPACE = re.compile(r"\s*")
+BETWEEN = re.compile(r"[\s\"'“„‘«‹「『(（\[【〈《¿¡/]")
 
 
 def block_starts(text: str, a: int, b: int, lang: Language, unknown_opens: bool) -> list[int]:
@@ -232,6 +258,8 @@ def block_starts(text: str, a: int, b: int, lang: Language, unknown_opens: bool)
     starts = [a]
     part = text[a:b]
     inner = spans(part)
+    #: where the words before stops may begin
+    edges = [0, *(m.end() for m in BETWEEN.finditer(part))]
     k = 0
     i = 0
     while m := STOP.search(part, i):
@@ -242,7 +270,7 @@ def block_starts(text: str, a: int, b: int, lang: Language, unknown_opens: bool)
         opened_first = False
         inside = k < len(inner) and inner[k][0] < m.start() < inner[k][1]
         # closing signs right behind the stop, with spaces before » as in French
-        tail = re.compile(rf"(?:[^\S\n]?[»›]|[{re.escape(CLOSE)}])*").match(part, end).end()
+        tail = CLOSERS.match(part, end).end()
         if inside:
             last = inner[k][1]
             if last >= tail or not part[end : last + 1].strip():
@@ -256,7 +284,7 @@ def block_starts(text: str, a: int, b: int, lang: Language, unknown_opens: bool)
         if tail >= len(part):
             break
         wide = any(c in WIDE for c in m[0])
-        gap = re.compile(r"\s*").match(part, tail).end()
+        gap = SPACE.match(part, tail).end()
         if gap >= len(part):
             break
         if wide:
@@ -270,11 +298,11 @@ def block_starts(text: str, a: int, b: int, lang: Language, unknown_opens: bool)
         head = word[:1]
         camel = bool(re.match(r"[^\W\d_]{1,2}[A-Z]", word))
         upper = head.isupper() or head.istitle() or camel and head.islower() or bool(opens.strip("\"'([（【「『“„‘«‹")) and not head.islower()
-        before = WORD_BEFORE.search(part[max(starts[-1] - a, m.start() - 60) : m.start()])[0]
+        before = part[max(starts[-1] - a, edges[bisect_right(edges, m.start()) - 1]) : m.start()]
         plain = m[0] == "."
         if gap == tail:
             # no space: only a word of some letters before a capital counts
-            fine = tail == end and re.search(r"[^\W\d_A-Z]{2}$|[)\]%\d]$", before) and head.isupper() and word[1:2].islower()
+            fine = tail == end and head.isupper() and word[1:2].islower() and re.search(r"[^\W\d_A-Z]{2}$|[)\]%\d]$", before[-2:])
             if not fine or plain and ("." in before or lang.never_final(before.lower())):
                 continue
         if head.islower() and not camel:
@@ -293,6 +321,8 @@ def block_starts(text: str, a: int, b: int, lang: Language, unknown_opens: bool)
             elif lang.abbreviation(base):
                 if not (lang.starter(following) or opens and not head.islower() or following == NUMBER and lang.often_final(base)):
                     continue
+            elif lang.collocation(base, following):
+                continue
             elif head.isalpha() and not upper and head.lower() == head.upper() and re.fullmatch(r"[^\W\d_]\.?|", before):
                 continue
         starts.append(a + gap)
@@ -352,8 +382,25 @@ def thai(text: str, a: int, b: int) -> list[int]:
     return out
 
 
+def asked(text: str) -> set[str]:
+    """The words and pairs of a text that a decision may ask for."""
+    edges = [0, *(m.end() for m in BETWEEN.finditer(text))]
+    out: set[str] = set()
+    for m in STOP.finditer(text):
+        tail = CLOSERS.match(text, m.end()).end()
+        gap = SPACE.match(text, tail).end()
+        _, word = _first(text, gap, len(text))
+        if gap == tail and not word[:1].isupper():
+            continue
+        base = text[edges[bisect_right(edges, m.start()) - 1] : m.start()].lower()
+        following = NUMBER if re.fullmatch(r"[\d.,:%]+", word) else re.sub(r"[^\w]+$", "", word.lower())
+        out |= {base, following, f"{base} {following}"}
+    out |= {m[1].lower() for m in re.finditer(r"(\S+)\.\s*$", text, re.M)}
+    return out
+
+
 class Learned:
-    """The counts of all languages, from a broadcast list or read by language from the shared folder."""
+    """The counts of all languages, from a broadcast list, or as read for the words at hand from the shared folder."""
 
     def __init__(self, rows: list[tuple] | None, path: str):
         self.rows, self.path = rows, path
@@ -362,22 +409,38 @@ class Learned:
     def of(self, name: str | None) -> Language:
         name = POOLED if name is None else name
         if name not in self.languages:
-            if self.rows is not None:
-                mine = [r[1:] for r in self.rows if r[0] == name]
-            else:
-                import pyarrow.dataset as ds
-                from pyarrow import fs
-
-                system, at = fs.FileSystem.from_uri(self.path) if ":" in self.path else (fs.LocalFileSystem(), self.path)
-                table = ds.dataset(at, filesystem=system).to_table(filter=ds.field("lang") == name)
-                mine = list(zip(*(table.column(c).to_pylist() for c in ("kind", "word", "a", "b", "c", "d"))))
-            sides = {k: {w: tuple(v) for kind, w, *v in mine if kind == k} for k in "ps"}
-            self.languages[name] = Language(sides["p"], sides["s"])
+            self._keep(name, [r[1:] for r in self.rows or () if r[0] == name])
         return self.languages[name]
 
+    def _keep(self, name: str, mine: list[tuple]) -> None:
+        sides = {k: {w: tuple(v) for kind, w, *v in mine if kind == k} for k in "psc"}
+        self.languages[name] = Language(sides["p"], sides["s"], sides["c"])
+
+    def ahead(self, texts: Iterable[tuple[str | None, str | None]]) -> None:
+        """Gets what a batch of (lang, text) needs, in place of what the last one needed."""
+        if self.rows is not None:
+            return
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        needed: dict[str, set[str]] = {}
+        for name, text in texts:
+            if text:
+                needed.setdefault(POOLED if name is None else name, {""}).update(asked(text))
+        system, at = fs.FileSystem.from_uri(self.path) if ":" in self.path else (fs.LocalFileSystem(), self.path)
+        table = ds.dataset(at, filesystem=system)
+        self.languages = {}
+        for name, words in needed.items():
+            got = table.to_table(filter=(ds.field("lang") == name) & ds.field("word").isin(sorted(words)))
+            self._keep(name, list(zip(*(got.column(c).to_pylist() for c in ("kind", "word", "a", "b", "c", "d")))))
+
 
 def learn(texts: DataFrame) -> Callable[[], Learned]:
-    """Counts over texts(lang, text), written to the shared folder; a function that gives a worker its copy."""
+    """Counts over texts(lang, text); a function that gives a worker its copy.
+
+    They go through the shared folder. Where they are few they are broadcast and the folder is removed; else they stay
+    there, sorted by word, for the workers to read from, as long as the result is in use.
+    """
     spark = texts.sparkSession
     path = f"{shared_dir(spark)}/sentence-counts-{uuid.uuid4().hex}"
     counts(texts).write.mode("overwrite").parquet(path)
@@ -385,7 +448,10 @@ def learn(texts: DataFrame) -> Callable[[], Learned]:
     rows = None
     if table.count() <= BROADCAST_WORDS:
         rows = [tuple(r) for r in table.select("lang", "kind", "word", "a", "b", "c", "d").collect()]
-    shared = spark.sparkContext.broadcast((rows, path))
+    else:
+        table.repartitionByRange("lang", "word").sortWithinPartitions("lang", "word").write.parquet(f"{path}-sorted")
+    remove(spark, path)
+    shared = spark.sparkContext.broadcast((rows, f"{path}-sorted"))
     return lambda: Learned(*shared.value)
 
 
@@ -405,6 +471,7 @@ def split(texts: DataFrame, learned: Callable[[], Learned]) -> DataFrame:
             for a, b in zip(at, [*at[1:], len(text)]):
                 yield key, field, name, a, a + len(re.sub(r"\s*(?:\n\s*[•‣▪●○◦■□*·–—-]\s*)?$", "", text[a:b]))
 
+        rows.ahead = lambda given: known.ahead((name, text) for _, _, name, text in given)
         return rows
 
     return flat_map(texts, [F.col("item_id").cast("long"), "field", "lang", "text"], make, SCHEMA)
