@@ -110,24 +110,31 @@ def p5_flags(spark: SparkSession, sf: str) -> DataFrame:
     return _packed(spark, sf).groupBy("field", "flag").agg(F.count("*").alias("n"))
 
 
-def _units(spark: SparkSession, sf: str) -> DataFrame:
-    return units.convert(read(spark, sf, "ai_extractions", "narrative_id", "extraction"))
+def _doses(spark: SparkSession, sf: str) -> DataFrame:
+    """ai_extractions with the engine that read the narrative as ``source``."""
+    engines = read(spark, sf, "narratives", "narrative_id", "engine").groupBy("narrative_id").agg(F.min("engine").alias("source"))
+    return read(spark, sf, "ai_extractions", "narrative_id", "extraction").join(engines, "narrative_id", "left")
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return units.found(_units(spark, sf))
+    return units.found(units.parse(read(spark, sf, "ai_extractions", "narrative_id", "extraction")))
 
 
 def p6_doses(spark: SparkSession, sf: str) -> DataFrame:
     """Every dose with its amount, unit and the unit's source; uncertain ones are marked for review."""
-    return _units(spark, sf)
+    return units.convert(_doses(spark, sf))
+
+
+def p6_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """How often the classifier is sure, and right, on doses whose known unit is hidden from it."""
+    return units.accuracy(_doses(spark, sf))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         p2_found, p2_nodes, p2_broken, p2_records, p2_reactions, p2_drugs, p2_drug_reactions, p2_sections, p2_section_items, p2_label_openfda,
-        p2_extracted, p2_extracted_drugs, p2_extracted_reactions, p2_extracted_records, p5_found, p5_flags, p6_found, p6_doses,
+        p2_extracted, p2_extracted_drugs, p2_extracted_reactions, p2_extracted_records, p5_found, p5_flags, p6_found, p6_doses, p6_accuracy,
     )
 } | reference_queries.QUERIES
 
