@@ -9,7 +9,9 @@ Defined results:
 * a payload that is null, empty, cut off or no JSON object gives one row in ``broken`` and no nodes;
 * a single value in the place of a list is its element 0; a list may be encoded as text, again to any depth;
 * null elements keep their number and are marked ``is_null``; an empty list gives no node;
-* member names are compared without case and punctuation; of members that then coincide the first not null counts;
+* member names are compared without case and punctuation; lists and objects whose names then coincide are taken as one
+  list, in order; of scalar members all are kept, the second named ``name#2``, and a table's column has the first not null;
+* several objects in the place of one (openfda) are all walked: their paths are ``openfda``, ``openfda#1``, ...;
 * repeated rows give their nodes once; further columns of the input are not looked at, whatever their names.
 """
 
@@ -89,41 +91,47 @@ class Walker:
             ]
         return []
 
-    def members(self, obj: dict) -> dict[str, tuple[int, str, object]]:
-        out: dict[str, tuple[int, str, object]] = {}
+    def members(self, obj: dict) -> dict[str, list[tuple[int, str, object]]]:
+        """Ordinal, name and value of the members, by folded name."""
+        out: dict[str, list[tuple[int, str, object]]] = {}
         for i, (name, value) in enumerate(obj.items()):
-            at = fold(name)
-            if at not in out or out[at][2] is None:
-                out[at] = (i, name, value)
+            out.setdefault(fold(name), []).append((i, name, value))
         return out
 
+    def scalar(self, members: dict, name: str) -> str | None:
+        """The first not null of the members of that name."""
+        return _scalar(next((v for _, _, v in members.get(fold(name), ()) if v is not None), None))
+
     def walk(self, obj: dict, shape: dict, dewey: str, path: str, schema: str) -> Iterator[tuple]:
         members = self.members(obj)
         for name, inner in shape.items():
-            if fold(name) not in members:
-                continue
-            ordinal, _, value = members[fold(name)]
-            value = _decoded(value)
-            here = f"{dewey}{ordinal}"
+            own = [(ordinal, _decoded(value)) for ordinal, _, value in members.get(fold(name), ())]
             if isinstance(inner, dict):
-                value = value[0] if isinstance(value, list) and len(value) == 1 else value
-                if isinstance(value, dict):
-                    yield from self.walk(value, inner, f"{here}.", f"{path}{name}.", f"{schema}{name}.")
+                # each object, with the label of where it stands; one alone in its place adds no ordinal
+                held = [(f"{o}.{k}" if len(v) > 1 else f"{o}", _decoded(w)) for o, v in ((o, v if isinstance(v, list) else [v]) for o, v in own) for k, w in enumerate(v)]
+                for n, (at, value) in enumerate((a, v) for a, v in held if isinstance(v, dict)):
+                    yield from self.walk(value, inner, f"{dewey}{at}.", f"{path}{name}{f'#{n}' if n else ''}.", f"{schema}{name}.")
                 continue
-            if value is None:
-                continue
-            elements = value if isinstance(value, list) else [value]
-            for i, element in enumerate(elements):
+            elements = [(f"{dewey}{o}.{k}", w) for o, v in own if v is not None for k, w in enumerate(v if isinstance(v, list) else [v])]
+            for i, (here, element) in enumerate(elements):
                 element = _decoded(element)
                 at, to = f"{path}{name}[{i}]", f"{schema}{name}[]"
                 sub = inner[0] if inner else {}
                 fields = None
                 if isinstance(element, dict):
                     lists = {fold(k) for k in sub}
-                    fields = [(n.lower(), _scalar(v)) for k, (_, n, v) in self.members(element).items() if k not in lists]
-                yield f"{here}.{i}", at, to, i, element is None, None if fields is not None else _scalar(element), fields
+                    fields = [(f"{n.lower()}#{j}" if j > 1 else n.lower(), _scalar(v)) for n, j, v in self._scalars(element, lists)]
+                yield here, at, to, i, element is None, None if fields is not None else _scalar(element), fields
                 if fields is not None:
-                    yield from self.walk(element, sub, f"{here}.{i}.", f"{at}.", f"{to}.")
+                    yield from self.walk(element, sub, f"{here}.", f"{at}.", f"{to}.")
+
+    def _scalars(self, obj: dict, lists: set[str]) -> Iterator[tuple[str, int, object]]:
+        """Name, number among the members of that name, and value; a null where another has a value comes behind it."""
+        for folded, own in self.members(obj).items():
+            if folded not in lists:
+                name = own[0][1]
+                for j, (_, n, v) in enumerate(sorted(own, key=lambda m: m[2] is None), 1):
+                    yield n if len(own) == 1 else name, j, v
 
     def roots(self, payload: str | None, fields: list[str], person: list[str]) -> Iterator[tuple]:
         """Label, path, number, ``fields`` and the patient's ``person`` of each record of a complete payload."""
@@ -135,12 +143,14 @@ class Walker:
             return
         for n, record in enumerate(records):
             members = self.members(record)
-            of = lambda own, name: _scalar(own.get(fold(name), (0, name, None))[2])
-            patient = _decoded(members.get("patient", (0, "patient", None))[2])
-            patient = patient[0] if isinstance(patient, list) and len(patient) == 1 else patient
-            told = self.members(patient) if isinstance(patient, dict) else {}
+            told: dict = {}
+            for _, _, patient in members.get("patient", ()):
+                patient = _decoded(patient)
+                for one in patient if isinstance(patient, list) else [patient]:
+                    for name, own in self.members(one).items() if isinstance(one, dict) else ():
+                        told.setdefault(name, []).extend(own)
             at = (f"1.0.{n}", f"results[{n}]") if n else ("0", "$")
-            yield *at, n, *(of(members, f) for f in fields), *(of(told, f) for f in person)
+            yield *at, n, *(self.scalar(members, f) for f in fields), *(self.scalar(told, f) for f in person)
 
     def __call__(self, key, payload) -> Iterator[tuple]:
         why = None

@@ -56,33 +56,37 @@ def p2_section_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_label_openfda(spark: SparkSession, sf: str) -> DataFrame:
-    """The lists in openfda of drug_labels as one table."""
+    """The lists in openfda of drug_labels as one table; they are typed, so the positions come from the plan itself."""
     labels = read(spark, sf, "drug_labels", "label_id", "openfda")
-    payload = F.to_json(F.struct("openfda"), {"ignoreNullFields": "false"})
-    kept = nested.nodes(labels, "label_id", payload).where("schema_path LIKE 'openfda.%' AND NOT is_null")
-    return kept.select(F.col("key").alias("label_id"), "schema_path", "pos", "value").distinct()
+    lists = F.array(*(F.struct(F.lit(f"openfda.{k}[]").alias("schema_path"), F.col(f"openfda.{k}").alias("own")) for k in nested.OPENFDA))
+    each = labels.select("label_id", F.explode(lists).alias("l")).select("label_id", "l.schema_path", F.posexplode("l.own").alias("pos", "value"))
+    return each.where("value IS NOT NULL").withColumn("pos", F.col("pos").cast("long")).distinct()
 
 
-def _extracted_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = read(spark, sf, "ai_extractions", "narrative_id", "extraction").where("extraction IS NOT NULL")
-    payload = F.to_json(F.struct("extraction.drugs", "extraction.reactions"), {"ignoreNullFields": "false"})
-    return nested.nodes(rows, "narrative_id", payload)
+def _extracted(spark: SparkSession, sf: str, member: str) -> DataFrame:
+    """Dewey label, parent's label, path, position and members of a typed list of ai_extractions; null elements keep their number."""
+    rows = read(spark, sf, "ai_extractions", "narrative_id", "extraction").select(F.col("narrative_id").alias("key"), F.posexplode(f"extraction.{member}").alias("pos", "e"))
+    ordinal = ("drugs", "reactions").index(member)
+    path = F.concat(F.lit(f"{member}["), "pos", F.lit("]"))
+    links = (F.concat(F.lit(f"0.{ordinal}."), "pos").alias("dewey"), F.lit("0").alias("parent_dewey"), F.lit("$").alias("parent_path"), path.alias("node_path"))
+    return rows.where("e IS NOT NULL").select("key", *links, F.col("pos").cast("long").alias("pos"), "e")
 
 
 def p2_extracted(spark: SparkSession, sf: str) -> DataFrame:
-    """Drugs and reactions of ai_extractions with their links, and all their members as JSON."""
-    kept = _extracted_nodes(spark, sf).where("NOT is_null")
-    name = F.coalesce(F.col("fields")["name"], F.col("fields")["reaction"])
-    members = F.to_json("fields", {"ignoreNullFields": "false"})
-    return kept.select(F.col("key").alias("narrative_id"), "node_path", "parent_path", "schema_path", "pos", name.alias("name"), members.alias("fields")).distinct()
+    """Drugs and reactions of ai_extractions with their links and name, and all their members as JSON."""
+    parts = []
+    for member, name in (("drugs", "name"), ("reactions", "reaction")):
+        members = F.to_json("e", {"ignoreNullFields": "false"}).alias("fields")
+        parts.append(_extracted(spark, sf, member).select(F.col("key").alias("narrative_id"), "node_path", "parent_path", F.lit(f"{member}[]").alias("schema_path"), "pos", F.col(f"e.{name}").alias("name"), members))
+    return parts[0].unionByName(parts[1]).distinct()
 
 
 def p2_extracted_drugs(spark: SparkSession, sf: str) -> DataFrame:
-    return nested.table(_extracted_nodes(spark, sf), "drugs[]", ["name", "dose", "route", "indication"])
+    return _extracted(spark, sf, "drugs").select("*", "e.*").drop("e").distinct()
 
 
 def p2_extracted_reactions(spark: SparkSession, sf: str) -> DataFrame:
-    return nested.table(_extracted_nodes(spark, sf), "reactions[]", ["reaction", "severity", "onset", "outcome", "drug"])
+    return _extracted(spark, sf, "reactions").select("*", "e.*").drop("e").distinct()
 
 
 def p2_extracted_records(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,4 +142,24 @@ QUERIES = {
     )
 } | reference_queries.QUERIES
 
-SQL: dict[str, str] = dict(reference_sql.SQL)
+def _typed_sql(member: str, ordinal: int, fields: tuple[str, ...]) -> str:
+    own = ", ".join(f"e.{f} AS {f}" for f in fields)
+    return f"""SELECT DISTINCT narrative_id AS key, '0.{ordinal}.' || i AS dewey, '0' AS parent_dewey, '$' AS parent_path, '{member}[' || i || ']' AS node_path, i AS pos, {own}
+        FROM (SELECT narrative_id, unnest(extraction.{member}) AS e, generate_subscripts(extraction.{member}, 1) - 1 AS i FROM ai_extractions) WHERE e IS NOT NULL"""
+
+
+_DRUG, _REACTION = ("name", "dose", "route", "indication"), ("reaction", "severity", "onset", "outcome", "drug")
+SQL: dict[str, str] = reference_sql.SQL | {
+    "p2_label_openfda": "SELECT DISTINCT label_id, schema_path, i AS pos, value FROM ("
+    + " UNION ALL ".join(f"SELECT label_id, 'openfda.{k}[]' AS schema_path, unnest(openfda.{k}) AS value, generate_subscripts(openfda.{k}, 1) - 1 AS i FROM drug_labels" for k in nested.OPENFDA)
+    + ") WHERE value IS NOT NULL",
+    "p2_extracted": " UNION ".join(
+        f"""SELECT narrative_id, '{m}[' || i || ']' AS node_path, '$' AS parent_path, '{m}[]' AS schema_path, i AS pos, e.{n} AS name, CAST(to_json(e) AS VARCHAR) AS fields
+        FROM (SELECT narrative_id, unnest(extraction.{m}) AS e, generate_subscripts(extraction.{m}, 1) - 1 AS i FROM ai_extractions) WHERE e IS NOT NULL"""
+        for m, n in (("drugs", "name"), ("reactions", "reaction"))
+    ),
+    "p2_extracted_drugs": _typed_sql("drugs", 0, _DRUG),
+    "p2_extracted_reactions": _typed_sql("reactions", 1, _REACTION),
+    "p2_extracted_records": """SELECT DISTINCT narrative_id AS key, extraction.patient.age AS age, extraction.patient.sex AS sex, extraction.patient.relevant_history AS relevant_history,
+        extraction.causality AS causality, extraction.overall_severity AS overall_severity, extraction.notes AS notes FROM ai_extractions WHERE extraction IS NOT NULL""",
+}
