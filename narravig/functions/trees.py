@@ -20,6 +20,11 @@ def _bins(x: np.ndarray, most: int) -> list[np.ndarray]:
     return cuts
 
 
+def _codes(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """The bin of each value: how many cut points of its column lie below it."""
+    return np.stack([np.searchsorted(c, x[:, j]) for j, c in enumerate(cuts)], 1)
+
+
 class Tree:
     """A regression tree with several outputs; nodes lie in arrays."""
 
@@ -38,38 +43,30 @@ class Tree:
         self.value.append(value)
         return len(self.value) - 1
 
-    def fit(self, x, y, w, cuts, depth: int, least: float, features: int, rng) -> "Tree":
+    def fit(self, codes, y, w, cuts, depth: int, least: float, features: int, rng) -> "Tree":
+        """Grows on ``codes``, the bins of the columns; the gains of a node's columns are worked out together."""
+        wide = max(map(len, cuts), default=0) + 1
+
         def grow(rows: np.ndarray, level: int) -> int:
             ww, yy = w[rows], y[rows]
-            total = ww.sum()
-            node = self._node((yy * ww[:, None]).sum(0) / total)
-            if level == depth or total < 2 * least:
+            total, whole = ww.sum(), (yy * ww[:, None]).sum(0)
+            node = self._node(whole / total)
+            if level == depth or total < 2 * least or wide < 2:
                 return node
-            best = (1e-9, -1, 0.0)
-            base = ((yy * ww[:, None]).sum(0) ** 2).sum() / total
-            for j in rng.permutation(x.shape[1])[:features]:
-                if not len(cuts[j]):
-                    continue
-                at = np.searchsorted(cuts[j], x[rows, j])
-                n = len(cuts[j]) + 1
-                mass = np.cumsum(np.bincount(at, ww, n))[:-1]
-                sums = np.stack([np.cumsum(np.bincount(at, ww * yy[:, k], n))[:-1] for k in range(y.shape[1])], 1)
-                rest = total - mass
-                fine = (mass >= least) & (rest >= least)
-                if not fine.any():
-                    continue
-                whole = (yy * ww[:, None]).sum(0)
-                gain = np.where(
-                    fine,
-                    (sums**2).sum(1) / np.maximum(mass, 1e-12) + ((whole - sums) ** 2).sum(1) / np.maximum(rest, 1e-12) - base,
-                    -1.0,
-                )
-                k = int(gain.argmax())
-                if gain[k] > best[0]:
-                    best = (float(gain[k]), int(j), float(cuts[j][k]))
-            if best[1] >= 0:
-                side = x[rows, best[1]] <= best[2]
-                self.feature[node], self.cut[node] = best[1], best[2]
+            some = rng.permutation(codes.shape[1])[:features]
+            flat = (codes[rows][:, some] + np.arange(len(some)) * wide).ravel()
+            added = lambda v: np.bincount(flat, np.repeat(v, len(some)), len(some) * wide).reshape(len(some), wide).cumsum(1)[:, :-1]
+            mass = added(ww)
+            rest = total - mass
+            gain = np.zeros_like(mass)
+            for k in range(y.shape[1]):
+                sums = added(ww * yy[:, k])
+                gain += sums**2 / np.maximum(mass, 1e-12) + (whole[k] - sums) ** 2 / np.maximum(rest, 1e-12)
+            gain = np.where((mass >= least) & (rest >= least), gain - (whole**2).sum() / total, -1.0)
+            j, k = divmod(int(gain.argmax()), wide - 1)
+            if gain[j, k] > 1e-9 and k < len(cuts[some[j]]):
+                side = codes[rows, some[j]] <= k
+                self.feature[node], self.cut[node] = int(some[j]), float(cuts[some[j]][k])
                 self.left[node] = grow(rows[side], level + 1)
                 self.right[node] = grow(rows[~side], level + 1)
             return node
@@ -99,12 +96,13 @@ class BoostedRegressor:
         rng = np.random.default_rng(self.seed)
         self.base, self.steps = float(y.mean()), []
         cuts, now = _bins(x, 64), np.full(len(y), y.mean())
+        codes = _codes(x, cuts)
         some = max(1, int(x.shape[1] * self.columns))
         for _ in range(self.trees):
             w = (rng.random(len(y)) < 0.8).astype(float)
             if not w.any():
                 continue
-            tree = Tree().fit(x, (y - now)[:, None], w, cuts, self.depth, self.least, some, rng)
+            tree = Tree().fit(codes, (y - now)[:, None], w, cuts, self.depth, self.least, some, rng)
             now = now + self.rate * tree.predict(x)[:, 0]
             self.steps.append(tree)
         return self
@@ -131,11 +129,12 @@ class BaggedClassifier:
         self.classes, y = np.unique(labels, return_inverse=True)
         onehot = np.eye(len(self.classes))[y]
         cuts, self.trees = _bins(x, 64), []
+        codes = _codes(x, cuts)
         seen, votes = np.zeros(len(y)), np.zeros_like(onehot)
         some = max(1, int(np.ceil(x.shape[1] ** 0.5)) + 1)
         for _ in range(self.count):
             w = np.bincount(rng.integers(0, len(y), len(y)), minlength=len(y)).astype(float)
-            tree = Tree().fit(x, onehot, w, cuts, self.depth, self.least, some, rng)
+            tree = Tree().fit(codes, onehot, w, cuts, self.depth, self.least, some, rng)
             self.trees.append(tree)
             out = np.flatnonzero(w == 0)
             if len(out):
