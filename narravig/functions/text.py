@@ -27,11 +27,6 @@ def slice_(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
 
 
-def ascii_only(text: Column) -> Column:
-    """Each other character replaced by a space; classes of all regex dialects agree on the rest."""
-    return F.regexp_replace(text, r"[^\x09\x0a\x0d\x20-\x7e]", " ")
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once a row; inside lambdas a plain column would be computed again for each element."""
     return F.transform(F.array(value), body)[0]

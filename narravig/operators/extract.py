@@ -16,6 +16,8 @@ from narravig.functions.arrowmap import flat_map
 from narravig.functions.text import filled, first, let, rx, slice_, strip
 
 LITERAL_ENTRIES = 2000
+#: A longer list is broadcast to the automatons up to so many entries (some 100 bytes each); beyond that it is an error.
+BROADCAST_ENTRIES = 2_000_000
 
 
 def entries(lexicon: DataFrame, name: str) -> list[tuple[int, str]] | None:
@@ -52,6 +54,8 @@ def occurring(df: DataFrame, text: str, lexicon: DataFrame, name: str, out: str)
 
 def _scanner(lexicon: DataFrame, name: str):
     """Makes, in a worker, the function that lists a small-letter text's entries in list order."""
+    if lexicon.count() > BROADCAST_ENTRIES:
+        raise ValueError(f"a word list may have at most {BROADCAST_ENTRIES} entries")
     rows = [(r.ord, r.name) for r in lexicon.select("ord", F.lower(F.col(name)).alias("name")).where("name <> ''").toLocalIterator()]
     shared = lexicon.sparkSession.sparkContext.broadcast(rows)
 

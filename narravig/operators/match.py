@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from narravig.functions.text import let
 
 
-def keywords(term: Column, least: int, split: str = r"\s+") -> Column:
+def keywords(term: Column, least: int, split: str = r"(?U)\s+") -> Column:
     return F.filter(F.split(F.lower(term), split), lambda w: F.length(w) > least)
 
 
@@ -43,7 +43,7 @@ def match_reports(reactions: DataFrame, terms: DataFrame, words: Column, exact:
 
 def match_sections(reaction: Column, sections: Column, items: Column) -> tuple[Column, Column, Column]:
     """(headers, items, found): sections (header, body) and items that hold any word of the reaction."""
-    words = F.split(F.lower(reaction), r"\s+")
+    words = F.split(F.lower(reaction), r"(?U)\s+")
     words = F.filter(words, lambda w: w != "")
     heads = F.transform(F.filter(sections, lambda s: any_in(words, F.lower(s["body"]))), lambda s: s["header"])
     hits = F.filter(items, lambda i: any_in(words, F.lower(i)))
@@ -51,7 +51,7 @@ def match_sections(reaction: Column, sections: Column, items: Column) -> tuple[C
     return heads, hits, (F.size(heads) > 0) | (F.size(hits) > 0)
 
 
-def tags(reaction: Column, raw_reactions: Column, raw_warnings: Column, split: str = r"\W+") -> Column:
+def tags(reaction: Column, raw_reactions: Column, raw_warnings: Column, split: str = r"(?U)\W+") -> Column:
     """Which parts of a label (in small letters, null if missing) name the reaction: the whole term, or all its words over four letters."""
     term = F.lower(F.trim(reaction))
 

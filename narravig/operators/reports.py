@@ -22,3 +22,9 @@ def counts(reports: DataFrame, limit: int | None = 500) -> DataFrame:
 def by_term(counted: DataFrame) -> DataFrame:
     """drug, term in lower case, cnt, rank: of terms that differ in case, the first's rank with the last's count."""
     return counted.groupBy("drug", F.lower("term").alias("term")).agg(F.min("rank").alias("rank"), F.max_by("cnt", "rank").alias("cnt"))
+
+
+def top(folded: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` first terms of each drug after folding, ranked anew; a drug has at most as many rows as were counted."""
+    order = Window.partitionBy("drug").orderBy("rank", "term")
+    return folded.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit)

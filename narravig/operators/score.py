@@ -14,6 +14,7 @@ def _told(c: Column, word: str | None = None) -> Column:
 def score(drugs: Column, reactions: Column, age: Column, sex: Column, causality: Column, severity: Column) -> Column:
     """Points out of 95 for what an extraction holds."""
     has = lambda items, test: F.coalesce(F.exists(items, test), F.lit(False))
+    # fixed values: points for each thing told
     tests = (
         (F.coalesce(F.size(drugs), F.lit(0)) > 0, 15),
         (has(drugs, lambda d: _told(d["dose"])), 10),
@@ -33,4 +34,5 @@ def score(drugs: Column, reactions: Column, age: Column, sex: Column, causality:
 
 
 def verdict(points: Column) -> Column:
+    # fixed values: borders of the verdicts
     return F.when(points >= 80, "HIGH").when(points >= 50, "MEDIUM").otherwise("LOW")

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narravig.functions.text import ascii_only, exploded
+from narravig.functions.text import exploded, strip
 from narravig.operators import compare, enginediff, extract, labels, match, reports
 
 EMPTY = "array<string>"
 
 
-def narratives(raw: DataFrame, plain: bool = False) -> DataFrame:
-    """narrative_id, drug_name, engine, t of the narratives with text; ``plain`` maps other characters than ASCII to spaces."""
-    t = F.col("narrative")
-    return raw.where("narrative IS NOT NULL").select("narrative_id", "drug_name", "engine", (ascii_only(t) if plain else t).alias("t"))
+def narratives(raw: DataFrame) -> DataFrame:
+    """narrative_id, drug_name, engine, t of the narratives with text."""
+    return raw.where("narrative IS NOT NULL").select("narrative_id", "drug_name", "engine", F.col("narrative").alias("t"))
 
 
 def validated(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -24,35 +23,35 @@ def validated(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return raw.where(~blank), bad.distinct()
 
 
-def label_parts(raw: DataFrame) -> DataFrame:
-    """label_id, items, sections, raw_reactions, raw_warnings: what comparisons need of each label."""
-    heads = labels.warning_sections(raw).groupBy("label_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("ord", "header", "body"))), lambda s: F.struct(s["header"].alias("header"), s["body"].alias("body"))).alias("sections")
-    )
-    flat = labels.projection(raw).select("label_id", "adverse_reactions_raw", "warnings_raw")
-    cleaned = raw.select("label_id", F.coalesce(labels.items(labels.element0("adverse_reactions")), F.array().cast(EMPTY)).alias("items"))
-    out = cleaned.join(flat, "label_id").join(heads, "label_id", "left")
-    return out.select(
+def label_parts(picked: DataFrame) -> DataFrame:
+    """``drug``, label_id, items, sections, raw_reactions, raw_warnings: what comparisons need of each label, as one projection."""
+    warnings, precautions = labels.element0("warnings"), labels.element0("warnings_and_precautions")
+    filled = lambda c: F.when(c != "", c)
+    found = labels.sections(warnings)
+    return picked.select(
+        "drug",
         "label_id",
-        "items",
-        F.coalesce("sections", F.array().cast("array<struct<header:string,body:string>>")).alias("sections"),
-        F.lower("adverse_reactions_raw").alias("raw_reactions"),
-        F.lower("warnings_raw").alias("raw_warnings"),
+        F.coalesce(labels.items(labels.element0("adverse_reactions")), F.array().cast(EMPTY)).alias("items"),
+        F.coalesce(F.transform(found, lambda s: F.struct(s["header"].alias("header"), s["body"].alias("body"))), F.array().cast("array<struct<header:string,body:string>>")).alias("sections"),
+        F.lower(F.coalesce(labels.element0("adverse_reactions"), F.lit(""))).alias("raw_reactions"),
+        F.lower(F.coalesce(filled(warnings), filled(precautions), F.lit(""))).alias("raw_warnings"),
     )
 
 
 def cases(told: DataFrame, raw_labels: DataFrame, counted: DataFrame) -> DataFrame:
-    """One row a narrative with a drug: its reactions, its label's parts and its drug's report terms."""
-    asked = told.where("drug_name IS NOT NULL").select(F.col("narrative_id").alias("id"), F.lower("drug_name").alias("drug_key"), "reactions")
-    meant = labels.resolve(asked, "drug_key", raw_labels).join(label_parts(raw_labels), "label_id")
+    """One row a narrative with a drug: its reactions, its label's parts and its drug's report terms.
+
+    Narratives and labels that stand twice count once. The labels that are meant are found first, so only they are taken apart.
+    """
+    asked = told.where("drug_name IS NOT NULL").select(F.col("narrative_id").alias("id"), F.lower(strip(F.col("drug_name"))).alias("drug_key"), "reactions").dropDuplicates(["id"])
+    meant = label_parts(labels.for_drugs(asked, "drug_key", raw_labels)).withColumnRenamed("drug", "drug_key")
     terms = reports.by_term(counted).groupBy(F.lower("drug").alias("drug_key")).agg(F.array_sort(F.collect_list(F.struct("rank", "term", "cnt"))).alias("terms"))
-    out = asked.join(meant.withColumnRenamed("drug", "drug_key"), "drug_key", "left").join(terms, "drug_key", "left")
-    return out
+    return asked.join(meant, "drug_key", "left").join(terms, "drug_key", "left")
 
 
-def analyze(raw: DataFrame, raw_labels: DataFrame, raw_reports: DataFrame, drug_lex: DataFrame, reaction_lex: DataFrame, plain: bool = False) -> DataFrame:
+def analyze(raw: DataFrame, raw_labels: DataFrame, raw_reports: DataFrame, drug_lex: DataFrame, reaction_lex: DataFrame) -> DataFrame:
     """The full comparison of every narrative that names a drug."""
-    told = extract.extract(narratives(raw, plain), "t", drug_lex, reaction_lex, True)
+    told = extract.extract(narratives(raw), "t", drug_lex, reaction_lex, True)
     return compare.full(cases(told, raw_labels, reports.counts(raw_reports)), reaction_lex)
 
 
@@ -94,9 +93,30 @@ def compare_engines(both: DataFrame) -> DataFrame:
     )
 
 
+def compared_engines(both: DataFrame, told: DataFrame, raw_labels: DataFrame, counted: DataFrame) -> DataFrame:
+    """One row a narrative with a drug, as ``cases``, of the reactions that both engines give together."""
+    numbered = F.transform("reactions", lambda r, i: F.struct(i.alias("ord"), *(r[f].alias(f) for f in ("reaction", "severity", "onset", "outcome", "drug"))))
+    merged = compare_engines(both).select(F.col("id").alias("narrative_id"), numbered.alias("reactions"))
+    named = told.select("narrative_id", "drug_name").dropDuplicates(["narrative_id"])
+    return cases(merged.join(named, "narrative_id"), raw_labels, counted)
+
+
+def document(aware: bool) -> Column:
+    """An extraction as one nested record: drugs, reactions, patient, causality, overall_severity; the other engine's adds notes."""
+    slim = lambda items, fields: F.transform(items, lambda x: F.struct(*(x[f].alias(f) for f in fields)))
+    drug, reaction = ("name", "dose"), ("reaction", "severity", "onset", "outcome", "drug")
+    patient = [F.col("age"), F.col("sex")]
+    note = []
+    if not aware:
+        drug = (*drug, "route", "indication")
+        patient.append(F.lit(None).cast("string").alias("relevant_history"))
+        note = [F.format_string("Extracted by rules. %d drug(s), %d reaction(s) found.", F.size("drugs"), F.size("reactions")).alias("notes")]
+    return F.struct(slim(F.col("drugs"), drug).alias("drugs"), slim(F.col("reactions"), reaction).alias("reactions"), F.struct(*patient).alias("patient"), "causality", "overall_severity", *note)
+
+
 def report_match(told: DataFrame, counted: DataFrame) -> DataFrame:
     """narrative_id, ord, reaction, matched_term, report_count for the reactions of narratives with a drug."""
-    rows = exploded(told.where("drug_name IS NOT NULL"), F.col("reactions"), "r", "narrative_id", F.upper("drug_name").alias("drug_key"))
+    rows = exploded(told.where("drug_name IS NOT NULL"), F.col("reactions"), "r", "narrative_id", F.upper(strip(F.col("drug_name"))).alias("drug_key"))
     rows = rows.select("narrative_id", "drug_key", "r.ord", "r.reaction").distinct()
     words = match.keywords(F.replace(F.col("reaction"), F.lit("-"), F.lit(" ")), 3)
     return match.match_reports(rows, reports.by_term(counted), words)

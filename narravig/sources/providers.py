@@ -77,3 +77,7 @@ def entities(provider: Provider, df: DataFrame, key: str, text: str) -> DataFram
 def route(df: DataFrame, engine: str) -> DataFrame:
     """``df`` with ``provider``: the entity model where it is asked for by name, the language model for anything else."""
     return df.withColumn("provider", F.when(F.col(engine) == "huggingface", "entities").otherwise("extractions"))
+
+
+#: What runs each provider that ``route`` names.
+ROUTES = {"entities": entities, "extractions": extractions}

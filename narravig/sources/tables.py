@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,13 +24,17 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
-    Where the session has none and runs in one process, a local folder is set; on a cluster that is an error.
+    Where the session has none and runs in one process, as in tests, a local folder is set, which goes when the process ends; on
+    a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="narravig-")
+        folder = spark.sparkContext.getCheckpointDir()
+        if folder is None:
+            folder = tempfile.mkdtemp(prefix="narravig-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -167,6 +167,19 @@ def test_nested_links(spark):
     assert nested.nodes(df.limit(0), "record_id", "payload").count() == 0
 
 
+def test_nothing_is_lost_where_names_coincide_or_objects_repeat(spark):
+    record = {
+        "Drugs": [{"name": "a"}], "drugs": [{"name": "b", "Name": "c"}, None],
+        "openfda": [{"brand_name": ["X"]}, {"brand_name": ["Y", "Z"], "route": "R"}],
+    }
+    got = nested.nodes(spark.createDataFrame([(1, json.dumps(record))], "record_id long, payload string"), "record_id", "payload").collect()
+    paths = {r.node_path: (r.value, r.fields, r.parent_path) for r in got}
+    assert set(paths) == {"drugs[0]", "drugs[1]", "drugs[2]", "openfda.brand_name[0]", "openfda#1.brand_name[0]", "openfda#1.brand_name[1]", "openfda#1.route[0]"}
+    assert paths["drugs[1]"][1] == {"name": "b", "name#2": "c"} and paths["openfda#1.brand_name[1]"][0] == "Z"
+    assert {p for _, _, p in paths.values()} == {"$"} and len({r.dewey for r in got}) == len(got)
+    assert {r.value for r in got if r.schema_path == "openfda.brand_name[]"} == {"X", "Y", "Z"}
+
+
 # packed fields
 
 
@@ -231,6 +244,29 @@ def test_units_from_notes_and_prediction(spark):
     assert units.convert(spark.createDataFrame([], kind)).count() == 0
 
 
+@pytest.mark.parametrize(("text", "value", "reason"), [("1e3 mg", 10**6, "stated"), ("1 x 10^-40 mg", 0, "stated"), ("5e20 g", None, "stated"), ("1e99999999 mg", None, "several numbers")])
+def test_powers_are_exact_or_given_up(text, value, reason):
+    got, _, why = units.quantity(text)
+    assert why == reason or got is None
+    assert (units._whole(got) if got is not None else None) == value
+
+
+def test_doses_too_large_have_a_reason_and_the_model_sees_bare_ones_only(spark):
+    kind = "narrative_id long, extraction struct<drugs:array<struct<name:string,dose:string,route:string,indication:string>>,notes:string>"
+    df = spark.createDataFrame([(1, ([("d", "5e20 g", None, None)], None)), (2, ([("d", "7", None, None)], "Dose unit: mg"))] * 2, kind)
+    assert {(r.narrative_id, r.amount_ug, r.reason) for r in units.parse(df).collect()} == {(1, None, "too large"), (2, 7000, None)}
+    assert "MapInArrow" in (plan := units.found(units.parse(df))._jdf.queryExecution().executedPlan().toString()) and plan.count("MapInArrow") == 1
+
+
+def test_the_classifier_is_right_where_it_is_sure(spark):
+    kind = "narrative_id long, extraction struct<drugs:array<struct<name:string,dose:string,route:string,indication:string>>,notes:string>, source string"
+    rows = [(i, ([("d", f"{100 + i % 50} mg", None, None), ("e", f"{1 + i % 3} g", None, None)], None), "x") for i in range(150)]
+    rows += [(1000 + i, ([("d", f"{100 + i % 50}", None, None)], "Dose unit: mg"), "y") for i in range(40)]
+    got = {r.unit_source: r for r in units.accuracy(spark.createDataFrame(rows, kind)).collect()}
+    assert got["stated"].doses == 300 and got["notes"].doses == 40
+    assert all(r.sure_right >= 0.9 * r.sure and r.right >= 0.9 * r.doses for r in got.values()) and got["stated"].sure > 0
+
+
 def test_trees_learn():
     import numpy as np
 

@@ -12,7 +12,7 @@ from narravig.sources import providers
 from narravig.streaming import narratives
 
 DATA = Path("/root/testdata/sf0.001")
-SOME = ("deid_findings", "reactions_aware", "report_counts_top", "label_warning_sections", "label_resolve", "report_match", "full_comparison", "engine_diff_summary", "ner_extract")
+SOME = ("deid_redact", "report_top50", "p2_extracted", "drug_labels_asked", "engines_label_match", "deid_findings", "reactions_aware", "report_counts_top", "label_warning_sections", "label_resolve", "report_match", "full_comparison", "engine_diff_summary", "ner_extract")
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no tables")
@@ -88,9 +88,9 @@ def test_labels_as_stored(spark, tmp_path):
         (1, {"warnings": ["Allergy alert may redden. Liver warning see a doctor.", "second text"], "adverse_reactions": ["Severe migraine."]}),
         (2, {"warnings_and_precautions": ["Use with care."], "contraindications": ["Known porphyria."]}),
     )
-    sections = {(r.label_id, r.header, r.body) for r in known["label_warning_sections_stored"](spark, sf).collect()}
+    sections = {(r.label_id, r.header, r.body) for r in known["label_warning_sections"](spark, sf).collect()}
     assert sections == {(1, "Allergy alert", "may redden."), (1, "Liver warning", "see a doctor.")}
-    flat = {r.label_id: r.warnings_raw for r in known["label_projection_stored"](spark, sf).collect()}
+    flat = {r.label_id: r.warnings_raw for r in known["label_projection"](spark, sf).collect()}
     assert flat == {1: "Allergy alert may redden. Liver warning see a doctor.", 2: "Use with care."}
 
 
@@ -129,18 +129,70 @@ def test_texts_as_stored(spark, tmp_path):
     known = __spark_entry__.queries()
     thai, hindi = "ยานี้อาจทำให้เกิดอาการปวดศีรษะได้", "यह दवा  सिरदर्द का कारण बन सकती है"
     spark.createDataFrame([(1, thai), (2, f"\u3000{hindi}\u00a0"), (3, "短い")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {tuple(r) for r in known["collapse_ws_stored"](spark, str(tmp_path)).collect()} == {(1, thai), (2, " ".join(hindi.split()))}
+    assert {tuple(r) for r in known["collapse_ws"](spark, str(tmp_path)).collect()} == {(1, thai), (2, " ".join(hindi.split()))}
 
     told = [(1, "Dolor", None, "Mrs. Müller, née Ångström: após aspirin, rash. Zoë"), (2, None, None, "Überrash nach aspirin")]
     spark.createDataFrame(told, "narrative_id long, drug_name string, engine string, narrative string").write.parquet(f"{tmp_path}/narratives.parquet")
     spark.createDataFrame([(0, "aspirin")], "ord int, name string").write.parquet(f"{tmp_path}/drug_lex.parquet")
     spark.createDataFrame([(0, "rash")], "ord int, term string").write.parquet(f"{tmp_path}/reaction_lex.parquet")
-    redacted = {r.narrative_id: r.redacted for r in known["deid_redact_stored"](spark, str(tmp_path)).collect()}
+    redacted = {r.narrative_id: r.redacted for r in known["deid_redact"](spark, str(tmp_path)).collect()}
     assert redacted == {i: t for i, *_, t in told}
     # a letter with an accent is part of the word: no whole word in the second
-    assert [(r.narrative_id, r.reaction) for r in known["reactions_aware_stored"](spark, str(tmp_path)).collect()] == [(1, "rash")]
+    assert [(r.narrative_id, r.reaction) for r in known["reactions_aware"](spark, str(tmp_path)).collect()] == [(1, "rash")]
 
     items = "Vómitos intensos\u00a0graves;\u3000Éruption étendue.\u2003Then more headache"
     sf = _label_table(spark, tmp_path, (1, {"adverse_reactions": [items], "warnings": [thai]}))
-    assert {r.item for r in known["label_ar_items_stored"](spark, sf).collect()} == {"Vómitos intensos\u00a0graves", "Éruption étendue"}
-    assert {(r.section, r.text) for r in known["label_sections_stored"](spark, sf).collect()} >= {("Warnings", thai)}
+    assert {r.item for r in known["label_ar_items"](spark, sf).collect()} == {"Vómitos intensos\u00a0graves", "Éruption étendue"}
+    assert {(r.section, r.text) for r in known["label_sections"](spark, sf).collect()} >= {("Warnings", thai)}
+
+
+@pytest.fixture()
+def asked_labels(spark, tmp_path):
+    rows = [
+        (1, ["Alpha"], ["alphine"], {"indications_and_usage": ["For pain."]}),
+        (2, None, ["beta hydrochloride salt of long name"], {}),
+        (3, None, None, {"nursing_mothers": ["x"], "drug_interactions": ["none", "Avoid with Gamma-2 Delta epsilon zeta eta at night."]}),
+        (1, ["Alpha"], ["alphine"], {"indications_and_usage": ["For pain."]}),
+    ]
+    openfda = "struct<" + ",".join(f"{k}:array<string>" for k in ("brand_name", "generic_name", "substance_name", "manufacturer_name", "route", "product_type")) + ">"
+    schema = f"label_id long, set_id string, openfda {openfda}, " + ", ".join(f"{f} array<string>" for f, _ in lex.SECTIONS)
+    made = [(i, None, (brand, generic, None, None, None, None), *(fields.get(f) for f, _ in lex.SECTIONS)) for i, brand, generic, fields in rows]
+    return spark.createDataFrame(made, schema)
+
+
+def test_loose_steps_take_names_of_any_length_and_all_texts(spark, asked_labels, monkeypatch):
+    from narravig.operators import labels
+
+    asked = spark.createDataFrame([(" ALPHA ",), ("hydrochloride salt of long",), ("gamma-2 delta epsilon zeta eta",), ("gamma",), ("",), (None,), ("!!",)], "d string")
+    want = {("alpha", 1, 0), ("hydrochloride salt of long", 2, 3), ("gamma-2 delta epsilon zeta eta", 3, 5)}
+    assert {tuple(r) for r in labels.resolve(asked, "d", asked_labels).collect()} == want
+    monkeypatch.setattr(labels, "ASKED", 0)
+    assert {tuple(r) for r in labels.resolve(asked, "d", asked_labels).collect()} == want
+    # a label that stands twice counts once
+    assert [(r.drug, r.label_id) for r in labels.for_drugs(asked.where("d = ' ALPHA '"), "d", asked_labels).collect()] == [("alpha", 1)]
+    assert labels.resolve(asked.limit(0), "d", asked_labels).count() == 0
+
+
+def test_top_terms_are_taken_after_folding(spark):
+    from narravig.operators import reports
+
+    rows = [(i, 1, "D", t) for i, t in enumerate(["Rash"] * 4 + ["rash"] * 3 + ["ache"] * 2 + ["fever"])]
+    counted = reports.counts(spark.createDataFrame(rows, "report_id long, line_no int, drug string, reaction string"))
+    assert sorted((r.term, r["rank"], r.cnt) for r in reports.top(reports.by_term(counted), 2).collect()) == [("ache", 2, 2), ("rash", 1, 3)]
+
+
+def test_sections_under_headers_of_a_fixture(spark, tmp_path):
+    text = "Intro. Liver warning one. Do not use with x. Liver warning two."
+    sf = _label_table(spark, tmp_path, (1, {"warnings": [text], "adverse_reactions": ["Severe migraine attack; Nausea 10%"]}), (2, {"warnings": [None]}), (3, {}))
+    known = __spark_entry__.queries()
+    assert {tuple(r) for r in known["label_warning_sections"](spark, sf).select("label_id", "ord", "header", "body").collect()} == {(1, 1, "Liver warning", "two."), (1, 2, "Do not use", "with x.")}
+    assert {(r.section, r.label, r.text) for r in known["label_side_effects"](spark, sf).collect()} == {
+        ("Adverse Reactions", None, "Severe migraine attack"), ("Warnings", "Liver warning", "two."), ("Warnings", "Do not use", "with x."),
+    }
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no tables")
+def test_the_comparison_reads_labels_little(spark):
+    plan = __spark_entry__.queries()["full_comparison"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    # one of narratives, labels and reports each; what a label is found by is cut off before
+    assert plan.count("FileScan parquet") <= 5 and not [line for line in plan.splitlines() if "FileScan" in line and "clinical_pharmacology" in line]
