@@ -17,9 +17,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from narravig.functions.trees import BoostedRegressor
 
@@ -80,30 +82,57 @@ def _word(word: str) -> tuple[float, ...]:
     )
 
 
-_WORDS: dict[str, tuple[float, ...]] = {}
+class Words:
+    """What words add, as rows of one array, and the numbers of their small-letter forms; each word is looked at once."""
 
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.small: dict[str, int] = {}
+        self.low: list[int] = []
+        self.rows = np.zeros((1024, len(_word("a"))))
 
-def tables(parts: list[str]) -> tuple[np.ndarray, list[set[str]]]:
-    """A row of shares, size and commas for each sentence, and its words.
+    def numbers(self, words: list[str]) -> list[int]:
+        return [n if (n := self.number.get(w)) is not None else self._new(w) for w in words]
 
-    A word is looked at once a process; after CACHED of them new ones are looked at each time.
+    def _new(self, word: str) -> int:
+        n = self.number[word] = len(self.number)
+        if n == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[n] = _word(word)
+        low = word.lower()
+        # function words count for no cohesion
+        self.low.append(-1 if low in PLAIN else self.small.setdefault(low, len(self.small)))
+        return n
+
+
+_WORDS = Words()
+
+
+def tables(texts: list[list[str]]) -> list[tuple[np.ndarray, list[set[int]]]]:
+    """For each text, given as its sentences: a row of shares, size and commas for each sentence, and its words' numbers.
+
+    Words are kept from call to call in a process, until there are CACHED of them; then they are looked at anew.
     """
-    rows, bags, sizes, extra = [], [], [], []
-    for s in parts:
-        words = words_of(s)
-        for w in words:
-            row = _WORDS.get(w)
-            if row is None:
-                row = _word(w)
-                if len(_WORDS) < CACHED:
-                    _WORDS[w] = row
-            rows.append(row)
-        n = len(words)
-        sizes.append(n)
-        extra.append((float(n), s.count(",") / n, sum(map(s.count, "0123456789")) / n))
-        bags.append({w.lower() for w in words} - PLAIN)
-    sums = np.add.reduceat(np.array(rows, dtype=float), np.cumsum([0, *sizes[:-1]]), axis=0)
-    return np.concatenate([sums / np.array(sizes, dtype=float)[:, None], np.array(extra)], axis=1), bags
+    global _WORDS
+    if len(_WORDS.number) > CACHED:
+        _WORDS = Words()
+    words = _WORDS
+    numbers = [words.numbers(words_of(s)) for parts in texts for s in parts]
+    if not numbers:
+        return []
+    sizes = np.array([len(n) for n in numbers])
+    sums = np.add.reduceat(words.rows[np.concatenate([np.array(n) for n in numbers])], np.cumsum([0, *sizes[:-1]]), axis=0)
+    extra = np.array([(s.count(","), sum(map(s.count, "0123456789"))) for parts in texts for s in parts])
+    table = np.concatenate([sums / sizes[:, None], sizes[:, None], extra / sizes[:, None]], axis=1)
+    low, out, at = words.low, [], 0
+    for parts in texts:
+        end = at + len(parts)
+        out.append((table[at:end], [{low[n] for n in own} - NO_WORD for own in numbers[at:end]]))
+        at = end
+    return out
+
+
+NO_WORD = frozenset([-1])
 
 
 def _quantiles(x: np.ndarray, q: list[float]) -> np.ndarray:
@@ -115,7 +144,7 @@ def _quantiles(x: np.ndarray, q: list[float]) -> np.ndarray:
     return x[low] * (1 - part) + x[np.minimum(low + 1, len(x) - 1)] * part
 
 
-def features(parts: list[str], table: np.ndarray, bags: list[set[str]], scores: np.ndarray) -> list[float]:
+def features(parts: list[str], table: np.ndarray, bags: list[set[int]], scores: np.ndarray) -> list[float]:
     """The features of a text given as its sentences with their tables and single scores."""
     sizes = table[:, 12]
     n = sizes.sum()
@@ -160,7 +189,7 @@ class Model:
             raise ValueError("labelled passages of at least two bands are needed")
         rng = np.random.default_rng(11)
         fold = rng.permutation(len(passages)) % FOLDS
-        cut = [tables(parts) for parts, _ in passages]
+        cut = tables([parts for parts, _ in passages])
         rows = np.concatenate([t for t, _ in cut])
         owner = np.repeat(np.arange(len(cut)), [len(t) for t, _ in cut])
         label = np.array([b for _, b in passages], dtype=float)
@@ -205,14 +234,11 @@ class Model:
 
     def _score(self, texts: list[str | None]) -> np.ndarray:
         out = np.full(len(texts), np.nan)
-        cut, at = [], []
-        for i, t in enumerate(texts):
-            parts = sentences(t) if t else []
-            if parts:
-                cut.append((parts, *tables(parts)))
-                at.append(i)
-        if not cut:
+        split = [sentences(t) if t else [] for t in texts]
+        at = [i for i, parts in enumerate(split) if parts]
+        if not at:
             return out
+        cut = [(split[i], *made) for i, made in zip(at, tables([split[i] for i in at]))]
         single = self.sentence_trees.predict(np.concatenate([t for _, t, _ in cut]))
         ends = np.cumsum([len(t) for _, t, _ in cut])
         x = [features(p, t, b, single[e - len(t) : e]) for (p, t, b), e in zip(cut, ends)]
@@ -227,13 +253,18 @@ def fit(samples: DataFrame) -> Model:
 
 
 def levels(df: DataFrame, key: str, text: str, model: Model, *keep: str) -> DataFrame:
-    """key, the columns ``keep``, and score and band of each text."""
+    """key, the columns ``keep``, and score and band of each text, looked at once."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("score double, band long")
-    def rate(texts: pd.Series) -> pd.DataFrame:
-        score = shared.value.score([t if isinstance(t, str) else None for t in texts])
-        band = pd.Series(shared.value.band(score), dtype="Int64").mask(np.isnan(score))
-        return pd.DataFrame({"score": score, "band": band})
-
-    return df.select(F.col(key), *keep, rate(F.col(text)).alias("r")).select(key, *keep, "r.score", "r.band")
+    kinds = [(c, df.schema[c].dataType.simpleString()) for c in (key, *keep)]
+    schema = ", ".join(f"`{c}` {t}" for c, t in kinds) + ", score double, band long"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    # a map over batches, not a function in a column: a filter on the band would have the optimizer call that twice
+    def rate(batches):
+        for b in batches:
+            score = shared.value.score(b.column(b.num_columns - 1).to_pylist())
+            none = np.isnan(score)
+            band = pa.array(shared.value.band(score), pa.int64(), mask=none)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score, mask=none), band], schema=arrow)
+
+    return df.select(key, *keep, F.col(text).alias("_text")).mapInArrow(rate, schema)
