@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narravig.llm import canon, chunking, packing, pii, readability, sentences, tokens
-from narravig.sources.tables import read
+from narravig.sources.tables import cut, read
+
+
+#: Fields that size_limits bounds.
+LIMITED = ("narrative", "clinical_pharmacology", "text")
 
 
 def _limits(spark: SparkSession, sf: str) -> dict[str, tuple[int, int]]:
     """max_size and overlap_size by field; the table has one row a field."""
-    rows = read(spark, sf, "size_limits", "field", "max_size", "overlap_size").distinct().limit(1000).collect()
-    return {r.field: (r.max_size, r.overlap_size) for r in rows}
+    rows = read(spark, sf, "size_limits", "field", "max_size", "overlap_size").where(F.col("field").isin(*LIMITED)).distinct()
+    got = {r.field: (r.max_size, r.overlap_size) for r in rows.limit(len(LIMITED) + 1).collect()}
+    if rows.count() != len(got):
+        raise ValueError("size_limits has two rows of one field")
+    return got
 
 
 def _pieces(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,22 +44,36 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return _pieces(spark, sf).dropDuplicates(["field", "item_id", "pos", "piece"])
 
 
-#: Key of the pseudonyms, unless the session sets its own.
-SECRET_CONF, SECRET = "spark.narravig.pseudonymKey", "narravig"
+def p1_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    """Each oversized text put together again from its pieces, as a digest, and how many pieces exceed the limit."""
+    limits = _limits(spark, sf)
+    most = F.create_map(*(x for field, (size, _) in limits.items() for x in (F.lit(field), F.lit(size))))
+    own = F.array_sort(F.collect_list(F.struct("piece", "start_at", "end_at", "text"))).alias("own")
+    each = p1_pieces(spark, sf).groupBy("field", "item_id", "pos").agg(own, F.count_if(F.length("text") > most[F.col("field")]).alias("too_long"))
+    fresh = F.transform("own", lambda p, i: F.substring(p["text"], F.when(i == 0, 1).otherwise(F.element_at("own", F.greatest(i, F.lit(1)))["end_at"] - p["start_at"] + 1).cast("int"), F.length(p["text"])))
+    return each.select("field", "item_id", "pos", F.md5(F.array_join(fresh, "").cast("binary")).alias("digest"), "too_long")
+
+
+#: Setting that holds the secret of the pseudonyms. Without it each call draws one, so its pseudonyms link within its result only.
+SECRET_CONF = "spark.narravig.pseudonymKey"
+
+
+def _secret(spark: SparkSession) -> str:
+    return spark.conf.get(SECRET_CONF, None) or secrets.token_hex(32)
 
 
-def _mentions(spark: SparkSession, sf: str) -> DataFrame:
-    return pii.found(read(spark, sf, "narratives", "narrative_id", "narrative"), "narrative_id", "narrative")
+def p3_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every mention with the check that a number passes and its pseudonym."""
+    return pii.found(read(spark, sf, "narratives", "narrative_id", "narrative"), "narrative_id", "narrative", _secret(spark))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _mentions(spark, sf).select("narrative_id", "kind", "start_at").distinct()
+    return p3_mentions(spark, sf).select("narrative_id", "kind", "start_at").distinct()
 
 
 def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
     """Every narrative with placeholders."""
-    secret = spark.conf.get(SECRET_CONF, SECRET)
-    return pii.redacted(read(spark, sf, "narratives", "narrative_id", "narrative"), "narrative_id", "narrative", secret)
+    return pii.redacted(read(spark, sf, "narratives", "narrative_id", "narrative"), "narrative_id", "narrative", _secret(spark))
 
 
 def _typed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -122,11 +145,13 @@ def p9_assignments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
-    """Containers used, tokens in them and the share of room left empty."""
+    """Containers used, how many the search filled and in how many steps, tokens in them and the share of room left empty."""
     capacity, _ = _limits(spark, sf)["text"]
-    each = _packed(spark, sf).groupBy("container").agg(F.sum("size").alias("fill"), F.count("*").alias("items"))
+    each = _packed(spark, sf).groupBy("container").agg(F.sum("size").alias("fill"), F.count("*").alias("items"), F.max("nodes").alias("nodes"))
     return each.agg(
         F.count("*").alias("containers"),
+        F.count_if(F.col("nodes") > 0).alias("searched"),
+        F.sum("nodes").alias("nodes"),
         F.sum("fill").alias("tokens"),
         F.sum("items").alias("items"),
         F.max("fill").alias("fullest"),
@@ -135,6 +160,14 @@ def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p9_placed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with text, and whether a container that holds any of it exceeds the capacity."""
+    capacity, _ = _limits(spark, sf)["text"]
+    placed = cut(_packed(spark, sf).select("id", "container", "size"))
+    over = placed.groupBy("container").agg((F.sum("size") > capacity).alias("over"))
+    return placed.join(over, "container").groupBy(F.col("id").alias("doc_id")).agg(F.bool_or("over").alias("over"))
+
+
 def _levels(spark: SparkSession, sf: str, docs: DataFrame, *keep: str) -> DataFrame:
     model = readability.fit(read(spark, sf, "level_samples", "sample_id", "text", "band"))
     return readability.levels(docs, "doc_id", "text", model, *keep)
@@ -158,7 +191,7 @@ def p10_profile(spark: SparkSession, sf: str) -> DataFrame:
     return scored.groupBy("source").agg(F.count("*").alias("docs"), F.avg("score").alias("mean_score"), share(1), share(2), share(3))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_redacted, p4_found, p4_unmatched, p7_found, p7_documents, p8_ids, p9_assignments, p9_fill, p10_found, p10_scores, p10_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p3_found, p3_mentions, p3_redacted, p4_found, p4_unmatched, p7_found, p7_documents, p8_ids, p9_assignments, p9_fill, p9_placed, p10_found, p10_scores, p10_profile)}
 
 SQL = {
     "p1_found": """
@@ -168,4 +201,12 @@ SQL = {
         SELECT DISTINCT 'clinical_pharmacology', label_id, CAST(i - 1 AS BIGINT) FROM (
             SELECT label_id, clinical_pharmacology AS c, unnest(range(1, len(clinical_pharmacology) + 1)) AS i FROM drug_labels)
         WHERE length(c[i]) > (SELECT max_size FROM size_limits WHERE field = 'clinical_pharmacology')""",
+    "p1_rebuilt": """
+        SELECT DISTINCT 'narrative' AS field, narrative_id AS item_id, CAST(0 AS BIGINT) AS pos, md5(narrative) AS digest, CAST(0 AS BIGINT) AS too_long FROM narratives
+        WHERE length(narrative) > (SELECT max_size FROM size_limits WHERE field = 'narrative')
+        UNION
+        SELECT DISTINCT 'clinical_pharmacology', label_id, CAST(i - 1 AS BIGINT), md5(c[i]), CAST(0 AS BIGINT) FROM (
+            SELECT label_id, clinical_pharmacology AS c, unnest(range(1, len(clinical_pharmacology) + 1)) AS i FROM drug_labels)
+        WHERE length(c[i]) > (SELECT max_size FROM size_limits WHERE field = 'clinical_pharmacology')""",
+    "p9_placed": "SELECT DISTINCT doc_id, false AS over FROM documents WHERE text <> ''",
 }
