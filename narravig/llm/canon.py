@@ -1,14 +1,15 @@
 """Freely typed values to the entry of a reference list that is meant, with DataFrame expressions only.
 
 Each distinct value is cleaned (case, accents, digits for letters, list marks, brackets, qualifiers) into a few variants
-without spaces: as it stands, without qualifiers, and with the part after a comma moved to the front. A variant that
-equals an entry, has the same words, or is the beginning of exactly one entry decides at once. The rest go to a
-pigeonhole join: an entry is cut into k+1 segments, and a variant within k edits of it must hold one of them, unchanged, at
-a place that the edits left and right of it allow. So the join is an equality join on (length, segment number, text);
-the built-in levenshtein then verifies. The entry with the fewest edits wins; where two tie, none is meant. Values without
-entry come from an anti-join and are reported with an empty canonical.
+without spaces: as it stands, without qualifiers, and with the part after a comma moved to the front. All variants go
+through a pigeonhole join: an entry is cut into k+1 segments, and a variant within k edits of it must hold one of them,
+unchanged, at a place that the edits left and right of it allow. So the join is an equality join on (length, segment
+number, text); the built-in levenshtein then verifies. Two further rules name entries that edits can't reach: one with
+the same words in another order, and the one entry that a variant is the beginning of (half of it or more). No edits come
+before word order, word order before beginnings, and these before the fewest edits; where two entries tie, none is meant.
+Values without entry come from an anti-join and are reported with an empty canonical.
 
-k grows with the entry's length: 1 up to 5 letters, 2 up to 7, 3 up to 10, then 4.
+k grows with the entry's length: 0 for one letter, 1 up to 5, 2 up to 7, 3 up to 10, then 4.
 
 Defined results: null and blank values give no row; values that equal an entry but for case and spaces give none
 either; equal values get equal results; repeated rows are reported once; an empty list leaves every value unmatched;
@@ -76,7 +77,7 @@ def _bag(v: Column) -> Column:
 
 
 def _k(length: Column) -> Column:
-    return F.when(length <= 5, 1).when(length <= 7, 2).when(length <= 10, 3).otherwise(4)
+    return F.when(length <= 1, 0).when(length <= 5, 1).when(length <= 7, 2).when(length <= 10, 3).otherwise(4)
 
 
 def references(entries: DataFrame) -> DataFrame:
@@ -87,39 +88,32 @@ def references(entries: DataFrame) -> DataFrame:
 
 
 def variants(values: DataFrame) -> DataFrame:
-    """list, value, order, spaced, ref_like: the ways in which each of values(list, value) may be meant."""
+    """list, value, spaced, typed: the ways in which each of values(list, value) may be meant, with and without spaces."""
     v = values.withColumn("c", cleaned(F.col("value")))
     bare = F.lit(None).cast("string")
     for name, words in QUALIFIERS.items():
         bare = F.when(F.col("list") == name, _without(F.col("c"), words)).otherwise(bare)
     v = v.withColumn("bare", F.coalesce(bare, F.col("c")))
     ways = F.array_distinct(F.array("c", "bare", _turned(F.col("bare"))))
-    v = v.select("list", "value", F.posexplode(ways).alias("way", "spaced"))
+    v = v.select("list", "value", F.explode(ways).alias("spaced"))
     v = v.withColumn("spaced", F.trim(F.regexp_replace("spaced", "[, ]+", " ")))
     return v.withColumn("typed", _squeezed(F.col("spaced"))).where("typed <> ''")
 
 
-def _at_once(v: DataFrame, refs: DataFrame) -> DataFrame:
-    """list, value, canonical of variants that decide without edits."""
-    same = v.join(refs.select("list", F.col("ref").alias("typed"), "canonical"), ["list", "typed"]).select(
-        "list", "value", "canonical", F.lit(0).alias("rank")
-    )
-    bags = v.withColumn("bag", _bag(F.col("spaced"))).join(refs.select("list", "bag", "canonical"), ["list", "bag"])
+def _reordered(v: DataFrame, refs: DataFrame) -> DataFrame:
+    """list, value, canonical of variants with the words of an entry in another order."""
+    bags = v.select("list", "value", _bag(F.col("spaced")).alias("bag"))
+    return bags.join(refs.select("list", "bag", "canonical"), ["list", "bag"]).select("list", "value", "canonical")
+
+
+def _begun(v: DataFrame, refs: DataFrame) -> DataFrame:
+    """list, value, canonical of variants that are the beginning, half or more, of one entry only."""
     size = F.length("spaced")
     starts = refs.select("list", "canonical", "spaced", F.explode(F.sequence(F.lit(5), F.greatest(F.lit(5), size - 1))).alias("n"))
     starts = starts.where((F.col("n") < size) & (F.col("n") * 2 >= size))
     starts = starts.select("list", "canonical", F.rtrim(F.substring("spaced", F.lit(1), F.col("n"))).alias("spaced")).distinct()
     alone = starts.groupBy("list", "spaced").agg(F.count("*").alias("many"), F.first("canonical").alias("canonical")).where("many = 1")
-    cut_off = v.join(alone, ["list", "spaced"])
-    every = same.unionByName(bags.select("list", "value", "canonical", F.lit(1).alias("rank"))).unionByName(
-        cut_off.select("list", "value", "canonical", F.lit(2).alias("rank"))
-    )
-    # the strongest reason counts; if it names two entries, none is meant
-    best = every.groupBy("list", "value").agg(
-        F.min("rank").alias("rank"), F.collect_set(F.struct("rank", "canonical")).alias("all")
-    )
-    names = F.array_distinct(F.transform(F.filter("all", lambda x: x["rank"] == F.col("rank")), lambda x: x["canonical"]))
-    return best.select("list", "value", F.when(F.size(names) == 1, names[0]).otherwise("").alias("canonical"))
+    return v.join(alone, ["list", "spaced"]).select("list", "value", "canonical")
 
 
 def _segments(refs: DataFrame) -> DataFrame:
@@ -131,10 +125,10 @@ def _segments(refs: DataFrame) -> DataFrame:
 
 
 def _near(v: DataFrame, refs: DataFrame) -> DataFrame:
-    """list, value, canonical of variants within k edits of an entry."""
-    v = v.select("list", "value", "typed").distinct().withColumn("n", F.length("typed"))
+    """list, typed, canonical, edits of the entries within k edits of each distinct variant."""
+    v = v.select("list", "typed").distinct().withColumn("n", F.length("typed"))
     # entry sizes that may match, with the segments' places; the shift of a segment is bound from both sides
-    v = v.withColumn("size", F.explode(F.sequence(F.greatest(F.lit(2), F.col("n") - 4), F.col("n") + 4)))
+    v = v.withColumn("size", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - 4), F.col("n") + 4)))
     v = v.withColumn("k", _k(F.col("size"))).withColumn("d", F.col("n") - F.col("size")).where("abs(d) <= k AND size > k")
     v = v.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k"))))
     low = F.greatest(-F.col("part"), F.col("d") - (F.col("k") - F.col("part")))
@@ -143,31 +137,24 @@ def _near(v: DataFrame, refs: DataFrame) -> DataFrame:
     v = v.withColumn("shift", F.explode(F.sequence(F.col("low"), F.col("high"))))
     from_, to = (F.floor((F.col("part") + d) * F.col("size") / (F.col("k") + 1)).cast("int") for d in (0, 1))
     v = v.withColumn("start", from_ + F.col("shift")).where((F.col("start") >= 0) & (F.col("start") + (to - from_) <= F.col("n")))
-    probes = v.select("list", "value", "typed", "size", "k", "part", F.substring("typed", F.col("start") + 1, to - from_).alias("text"))
+    probes = v.select("list", "typed", "size", "k", "part", F.substring("typed", F.col("start") + 1, to - from_).alias("text"))
     pairs = probes.join(_segments(refs).drop("k"), ["list", "size", "part", "text"])
-    pairs = pairs.select("list", "value", "typed", "ref", "canonical", "k").distinct()
-    edits = F.levenshtein("typed", "ref")
-    best = (
-        pairs.withColumn("edits", edits)
-        .where("edits <= k")
-        .groupBy("list", "value", "canonical")
-        .agg(F.min("edits").alias("edits"))
-        .groupBy("list", "value")
-        .agg(F.min("edits").alias("least"), F.collect_list(F.struct("edits", "canonical")).alias("all"))
-    )
-    names = F.transform(F.filter("all", lambda x: x["edits"] == F.col("least")), lambda x: x["canonical"])
-    return best.where(F.size(names) == 1).select("list", "value", names[0].alias("canonical"))
-
-
-def map_values(values: DataFrame, entries: DataFrame) -> DataFrame:
-    """list, value, canonical ('' where none is meant) of distinct values(list, value)."""
+    pairs = pairs.select("list", "typed", "ref", "canonical", "k").distinct()
+    return pairs.withColumn("edits", F.levenshtein("typed", "ref")).where("edits <= k").select("list", "typed", "canonical", "edits").distinct()
+
+
+def known_values(values: DataFrame, entries: DataFrame) -> DataFrame:
+    """list, value, canonical of the distinct values(list, value) that name an entry; '' where several tie."""
     refs = references(entries)
-    v = variants(values)
-    first = _at_once(v, refs)
-    second = _near(v.join(first.select("list", "value"), ["list", "value"], "left_anti"), refs)
-    known = first.unionByName(second)
-    missing = values.select("list", "value").join(known, ["list", "value"], "left_anti")
-    return known.unionByName(missing.withColumn("canonical", F.lit("")))
+    v = cut(variants(values))
+    near = v.select("list", "value", "typed").join(_near(v, refs), ["list", "typed"])
+    rank = lambda df, rank, edits: df.select("list", "value", F.struct(rank.alias("rank"), edits.alias("edits"), "canonical").alias("way"))
+    every = rank(near, F.when(F.col("edits") == 0, 0).otherwise(3), F.col("edits"))
+    for n, rule in ((1, _reordered), (2, _begun)):
+        every = every.unionByName(rank(rule(v, refs), F.lit(n), F.lit(0)))
+    best = every.groupBy("list", "value").agg(F.min("way").alias("best"), F.collect_set("way").alias("all"))
+    tied = F.filter("all", lambda w: (w["rank"] == F.col("best.rank")) & (w["edits"] == F.col("best.edits")))
+    return best.select("list", "value", F.when(F.size(tied) == 1, F.col("best.canonical")).otherwise("").alias("canonical"))
 
 
 def resolve(rows: DataFrame, entries: DataFrame) -> DataFrame:
@@ -177,8 +164,9 @@ def resolve(rows: DataFrame, entries: DataFrame) -> DataFrame:
     rows = rows.withColumn("folded", plain(F.col("value"))).join(own, ["list", "folded"], "left_anti")
     counted = cut(rows.groupBy("list", F.col("folded").alias("value")).agg(F.count("*").alias("n")))
     total = counted.agg(F.sum("n")).first()[0] or 0
-    mapped = cut(map_values(counted.select("list", "value"), entries).join(counted, ["list", "value"]))
-    mapped = mapped.select("list", F.col("value").alias("folded"), "canonical", "n")
+    known = cut(known_values(counted.select("list", "value"), entries).join(counted, ["list", "value"]))
+    missing = counted.join(known.select("list", "value"), ["list", "value"], "left_anti").withColumn("canonical", F.lit(""))
+    mapped = known.unionByName(missing).select("list", F.col("value").alias("folded"), "canonical", "n")
     hot = F.broadcast(mapped.where(F.col("n") * HOT > total).drop("n"))
     keys = ["list", "folded"]
     out = ["field", F.col("row_id").cast("long"), F.col("pos").cast("long").alias("pos"), "canonical"]
