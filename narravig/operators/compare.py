@@ -26,39 +26,43 @@ def _report(terms: Column, rule) -> Column:
     return F.get(F.filter(terms, rule), 0)
 
 
-def full(cases: DataFrame, reaction_lex: DataFrame) -> DataFrame:
-    """id, reaction, severity, onset, outcome, in_narrative, found_in_label, report_count, label_sections, drug, ord.
+def _row(src: int, at: Column, name: Column, count: Column, sections: Column, told: Column | None = None) -> Column:
+    value = lambda f, other: told[f] if told is not None else other
+    none = F.lit(None).cast("string")
+    return F.struct(
+        F.lower(F.trim(name)).alias("key"),
+        name.alias("reaction"),
+        F.lit(src).alias("src"),
+        at.cast("long").alias("ord"),
+        value("severity", none).alias("severity"),
+        value("onset", none).alias("onset"),
+        value("outcome", F.lit("unknown")).alias("outcome"),
+        F.lit(told is not None).alias("in_narrative"),
+        F.coalesce(count, F.lit(0)).cast("long").alias("report_count"),
+        sections.alias("sections"),
+        value("drug", none).alias("drug"),
+    )
 
-    ``cases`` has one row an id: reactions (as extracted), items and sections of the label (arrays; null without a label),
-    raw_reactions and raw_warnings, and terms (rank, term, cnt) of the drug in order (null without reports). All are bounded
-    by one narrative, one label and the limit of terms a drug, so every step but the merge is a projection.
-    """
-    terms = F.coalesce(F.col("terms"), F.array().cast("array<struct<rank:bigint,term:string,cnt:bigint>>"))
-    cases = cases.withColumn("_terms", terms)
-    tag = lambda r: match.tags(r, F.col("raw_reactions"), F.col("raw_warnings"))
-    none, unknown = F.lit(None).cast("string"), F.lit("unknown")
-
-    def row(src: int, at: Column, name: Column, count: Column, sections: Column, told: Column | None = None) -> Column:
-        value = lambda f, other: told[f] if told is not None else other
-        return F.struct(
-            F.lower(F.trim(name)).alias("key"),
-            name.alias("reaction"),
-            F.lit(src).alias("src"),
-            at.cast("long").alias("ord"),
-            value("severity", none).alias("severity"),
-            value("onset", none).alias("onset"),
-            value("outcome", unknown).alias("outcome"),
-            F.lit(told is not None).alias("in_narrative"),
-            F.coalesce(count, F.lit(0)).cast("long").alias("report_count"),
-            sections.alias("sections"),
-            value("drug", none).alias("drug"),
-        )
 
-    def told(r: Column) -> Column:
-        key = F.lower(F.trim(r["reaction"]))
-        words = match.keywords(key, 3)
-        hit = F.coalesce(_report(F.col("_terms"), lambda t: t["term"] == key), _report(F.col("_terms"), lambda t: match.all_in(words, t["term"])))
-        return row(1, r["ord"], r["reaction"], hit["cnt"], tag(r["reaction"]), r)
+def _tag(reaction: Column) -> Column:
+    return match.tags(reaction, F.col("raw_reactions"), F.col("raw_warnings"))
+
+
+def _together(*sources: Column) -> Column:
+    """All sources in one array: what they are made of is computed once."""
+    empty = F.array().cast(KIND)
+    return F.concat(*(F.coalesce(x, empty) for x in sources))
+
+
+def _with_terms(df: DataFrame) -> DataFrame:
+    return df.withColumn("_terms", F.coalesce(F.col("terms"), F.array().cast("array<struct<rank:bigint,term:string,cnt:bigint>>")))
+
+
+def listed(parts: DataFrame, reaction_lex: DataFrame) -> DataFrame:
+    """``parts`` with array ``listed``: the rows of the sources that no narrative has a part in, label items, terms in warnings, and reports.
+
+    ``parts`` has items, sections, raw_reactions, raw_warnings of a label and terms of a drug, as ``full`` says.
+    """
 
     def item(x: Column, i: Column) -> Column:
         head = F.substring(x, F.lit(1), F.lit(60))
@@ -68,40 +72,58 @@ def full(cases: DataFrame, reaction_lex: DataFrame) -> DataFrame:
         hit = F.when(F.size(words) > 0, _report(F.col("_terms"), lambda t: match.all_in(words, t["term"])))
         warned = F.exists(F.col("sections"), lambda s: match.any_in(words, F.lower(s["body"])))
         tagged = F.when(F.coalesce(warned, F.lit(False)), F.array(F.lit("Adverse Reactions"), F.lit("Warning"))).otherwise(F.array(F.lit("Adverse Reactions")))
-        return row(2, i, name, hit["cnt"], tagged)
+        return _row(2, i, name, hit["cnt"], tagged)
 
-    listed = entries(reaction_lex, "term")
+    parts = _with_terms(parts)
+    known = entries(reaction_lex, "term")
     skip = set(HEADERS) | set(lex.EXCLUDED_TERMS)
-    if listed is not None:
-        listed_terms = literal([(n, t) for n, t in listed if t not in skip])
-        size = max((n for n, _ in listed), default=0) + 1
+    if known is not None:
+        known_terms = literal([(n, t) for n, t in known if t not in skip])
+        size = max((n for n, _ in known), default=0) + 1
     else:
         # too many terms for literals: each section's are found beforehand
         size = reaction_lex.where("term <> ''").agg(F.max("ord")).first()[0] + 1
         bodies = F.transform("sections", lambda s: F.lower(s["body"]))
-        cases = occurring_each(cases, bodies, reaction_lex.where(~F.lower("term").isin(*skip)), "term", "_listed")
+        parts = occurring_each(parts, bodies, reaction_lex.where(~F.lower("term").isin(*skip)), "term", "_listed")
 
     def warned(s: Column, i: Column) -> Column:
-        hits = F.filter(listed_terms, lambda x: F.contains(F.lower(s["body"]), x["name"])) if listed is not None else F.get(F.col("_listed"), i)
+        hits = F.filter(known_terms, lambda x: F.contains(F.lower(s["body"]), x["name"])) if known is not None else F.get(F.col("_listed"), i)
 
         def one(x: Column) -> Column:
             both = lambda t: F.contains(t["term"], x["name"]) | F.contains(x["name"], t["term"])
             hit = F.coalesce(_report(F.col("_terms"), lambda t: t["term"] == x["name"]), _report(F.col("_terms"), both))
-            return row(3, i.cast("long") * size + x["ord"], x["name"], hit["cnt"], F.array(F.lit("Warning")))
+            return _row(3, i.cast("long") * size + x["ord"], x["name"], hit["cnt"], F.array(F.lit("Warning")))
 
         return F.transform(hits, one)
 
     keep = lambda t: ~t["term"].isin(*HEADERS) & ~t["term"].isin(*lex.EXCLUDED_TERMS)
     top = F.filter(F.slice("_terms", 1, TOP), keep)
     sources = (
-        F.transform(F.filter("reactions", lambda r: ~F.lower(F.trim(r["reaction"])).isin(*HEADERS)), told),
         F.transform(F.filter("items", lambda x: ~F.lower(x).isin(*HEADERS)), item),
         F.flatten(F.transform("sections", warned)),
-        F.transform(top, lambda t: row(4, t["rank"], t["term"], t["cnt"], tag(t["term"]))),
+        F.transform(top, lambda t: _row(4, t["rank"], t["term"], t["cnt"], _tag(t["term"]))),
     )
-    # all sources in one array: what they are made of is computed once
-    empty = F.array().cast(KIND)
-    rows = exploded(cases, F.concat(*(F.coalesce(x, empty) for x in sources)), "r", "id").select("id", "r.*")
+    return parts.withColumn("listed", _together(*sources)).drop("_terms", "_listed")
+
+
+def full(cases: DataFrame, reaction_lex: DataFrame) -> DataFrame:
+    """id, reaction, severity, onset, outcome, in_narrative, found_in_label, report_count, label_sections, drug, ord.
+
+    ``cases`` has one row an id: reactions (as extracted), items and sections of the label (arrays; null without a label),
+    raw_reactions and raw_warnings, and terms (rank, term, cnt) of the drug in order (null without reports); or, in place of
+    items and sections, ``listed`` as made once for each drug. All are bounded by one narrative, one label and the limit of
+    terms a drug, so every step but the merge is a projection.
+    """
+    cases = _with_terms(cases if "listed" in cases.columns else listed(cases, reaction_lex))
+
+    def told(r: Column) -> Column:
+        key = F.lower(F.trim(r["reaction"]))
+        words = match.keywords(key, 3)
+        hit = F.coalesce(_report(F.col("_terms"), lambda t: t["term"] == key), _report(F.col("_terms"), lambda t: match.all_in(words, t["term"])))
+        return _row(1, r["ord"], r["reaction"], hit["cnt"], _tag(r["reaction"]), r)
+
+    own = F.transform(F.filter("reactions", lambda r: ~F.lower(F.trim(r["reaction"])).isin(*HEADERS)), told)
+    rows = exploded(cases, _together(own, F.col("listed")), "r", "id").select("id", "r.*")
     # every source but a narrative's or a report's own term has sections, so having some is being in the label
     return merge(rows.withColumn("found_in_label", F.size("sections") > 0))
 

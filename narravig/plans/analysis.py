@@ -38,21 +38,25 @@ def label_parts(picked: DataFrame) -> DataFrame:
     )
 
 
-def cases(told: DataFrame, raw_labels: DataFrame, counted: DataFrame) -> DataFrame:
+def cases(told: DataFrame, raw_labels: DataFrame, counted: DataFrame, reaction_lex: DataFrame | None = None) -> DataFrame:
     """One row a narrative with a drug: its reactions, its label's parts and its drug's report terms.
 
     Narratives and labels that stand twice count once. The labels that are meant are found first, so only they are taken apart.
+    With ``reaction_lex`` the label's items and sections give way to ``compare.listed``, worked out once for each drug.
     """
     asked = told.where("drug_name IS NOT NULL").select(F.col("narrative_id").alias("id"), F.lower(strip(F.col("drug_name"))).alias("drug_key"), "reactions").dropDuplicates(["id"])
     meant = label_parts(labels.for_drugs(asked, "drug_key", raw_labels)).withColumnRenamed("drug", "drug_key")
     terms = reports.by_term(counted).groupBy(F.lower("drug").alias("drug_key")).agg(F.array_sort(F.collect_list(F.struct("rank", "term", "cnt"))).alias("terms"))
-    return asked.join(meant, "drug_key", "left").join(terms, "drug_key", "left")
+    parts = meant.join(terms, "drug_key", "full")
+    if reaction_lex is not None:
+        parts = compare.listed(parts, reaction_lex).drop("items", "sections")
+    return asked.join(parts, "drug_key", "left")
 
 
 def analyze(raw: DataFrame, raw_labels: DataFrame, raw_reports: DataFrame, drug_lex: DataFrame, reaction_lex: DataFrame) -> DataFrame:
     """The full comparison of every narrative that names a drug."""
     told = extract.extract(narratives(raw), "t", drug_lex, reaction_lex, True)
-    return compare.full(cases(told, raw_labels, reports.counts(raw_reports)), reaction_lex)
+    return compare.full(cases(told, raw_labels, reports.counts(raw_reports), reaction_lex), reaction_lex)
 
 
 def pairs(told: DataFrame, ai: DataFrame) -> DataFrame:
@@ -93,12 +97,12 @@ def compare_engines(both: DataFrame) -> DataFrame:
     )
 
 
-def compared_engines(both: DataFrame, told: DataFrame, raw_labels: DataFrame, counted: DataFrame) -> DataFrame:
+def compared_engines(both: DataFrame, told: DataFrame, raw_labels: DataFrame, counted: DataFrame, reaction_lex: DataFrame | None = None) -> DataFrame:
     """One row a narrative with a drug, as ``cases``, of the reactions that both engines give together."""
     numbered = F.transform("reactions", lambda r, i: F.struct(i.alias("ord"), *(r[f].alias(f) for f in ("reaction", "severity", "onset", "outcome", "drug"))))
     merged = compare_engines(both).select(F.col("id").alias("narrative_id"), numbered.alias("reactions"))
     named = told.select("narrative_id", "drug_name").dropDuplicates(["narrative_id"])
-    return cases(merged.join(named, "narrative_id"), raw_labels, counted)
+    return cases(merged.join(named, "narrative_id"), raw_labels, counted, reaction_lex)
 
 
 def document(aware: bool) -> Column:

@@ -10,7 +10,7 @@ from narravig.functions.text import exploded, first, let, rx, strip
 from narravig.operators import compare, deid, enginediff, extract, labels, match, reports, score
 from narravig.plans import analysis
 from narravig.sources import providers
-from narravig.sources.tables import read, spread
+from narravig.sources.tables import cut, read, spread
 
 LINK = "https://labels.example.org"
 TEXTS = tuple(f for f, _ in lex.SECTIONS)
@@ -37,9 +37,9 @@ def _counted(s: SparkSession, sf: str) -> DataFrame:
 
 
 def deid_redact(s, sf):
-    redacted = _told(s, sf).select("narrative_id", "t", deid.redact(F.col("t")).alias("redacted")).distinct()
-    # told apart above the shuffle: in one projection the rules would run once for each of the two columns
-    return redacted.select("narrative_id", "redacted", (F.col("redacted") != F.col("t")).alias("changed"))
+    # two projections, which aren't merged as the second names the first's column twice: the rules run once
+    redacted = _told(s, sf).select("narrative_id", "t", deid.redact(F.col("t")).alias("redacted"))
+    return redacted.select("narrative_id", "redacted", (F.col("redacted") != F.col("t")).alias("changed")).distinct()
 
 
 def deid_findings(s, sf):
@@ -192,8 +192,8 @@ def report_match(s, sf):
     return analysis.report_match(_extracted(s, sf, True), _counted(s, sf)).withColumn("ord", F.col("ord").cast("long"))
 
 
-def _cases(s, sf):
-    return analysis.cases(_extracted(s, sf, True), _labels(s, sf), _counted(s, sf))
+def _cases(s, sf, reaction_lex=None):
+    return analysis.cases(_extracted(s, sf, True), _labels(s, sf), _counted(s, sf), reaction_lex)
 
 
 def _checked(cases):
@@ -240,7 +240,8 @@ def _rows(full):
 
 
 def _full(s, sf):
-    return compare.full(_cases(s, sf), _lexicons(s, sf)[1])
+    terms = _lexicons(s, sf)[1]
+    return compare.full(_cases(s, sf, terms), terms)
 
 
 def full_comparison(s, sf):
@@ -255,9 +256,12 @@ def _scored(points):
     return points.withColumn("verdict", score.verdict(F.col("points"))).withColumn("needs_ai", F.col("points") < 80)
 
 
+def _points():
+    return score.score(*(F.col(c) for c in ("drugs", "reactions", "age", "sex", "causality", "overall_severity")))
+
+
 def confidence(s, sf):
-    points = score.score(*(F.col(c) for c in ("drugs", "reactions", "age", "sex", "causality", "overall_severity")))
-    return _scored(_extracted(s, sf, True).select("narrative_id", points.alias("points")).distinct())
+    return _scored(_extracted(s, sf, True).select("narrative_id", _points().alias("points")).distinct())
 
 
 def _both(s, sf):
@@ -319,17 +323,22 @@ def engine_merge(s, sf):
     )
 
 
-def _compared(s, sf):
-    return analysis.compared_engines(_both(s, sf), _told(s, sf), _labels(s, sf), _counted(s, sf))
+def _compared(s, sf, reaction_lex=None):
+    return analysis.compared_engines(_both(s, sf), _told(s, sf), _labels(s, sf), _counted(s, sf), reaction_lex)
+
+
+def _compared_full(s, sf):
+    terms = _lexicons(s, sf)[1]
+    return compare.full(_compared(s, sf, terms), terms)
 
 
 def engines_full_comparison(s, sf):
     """What both engines give together, against label and reports."""
-    return _rows(compare.full(_compared(s, sf), _lexicons(s, sf)[1]))
+    return _rows(_compared_full(s, sf))
 
 
 def engines_novel_reactions(s, sf):
-    return compare.full(_compared(s, sf), _lexicons(s, sf)[1]).where("NOT found_in_label").select("id", "reaction", "report_count")
+    return _compared_full(s, sf).where("NOT found_in_label").select("id", "reaction", "report_count")
 
 
 def engines_label_match(s, sf):
@@ -368,14 +377,16 @@ def extraction_documents(s, sf):
 
 def analysis_documents(s, sf):
     """The answer to a whole request as one record in JSON: points, verdict, novel reactions and label gaps of each narrative with a drug."""
-    scored = confidence(s, sf).select(F.col("narrative_id").alias("id"), "points", "verdict")
-    listed = lambda df, name: df.groupBy("id").agg(F.array_sort(F.collect_list("reaction")).alias(name))
-    cases = _cases(s, sf)
-    full = compare.full(cases, _lexicons(s, sf)[1])
+    terms = _lexicons(s, sf)[1]
+    # the extraction is read by three branches
+    told = cut(_extracted(s, sf, True).drop("t").dropDuplicates(["narrative_id"]))
+    scored = _scored(told.select(F.col("narrative_id").alias("id"), "drug_name", _points().alias("points"))).where("drug_name IS NOT NULL").select("id", "points", "verdict")
+    full = compare.full(analysis.cases(told, _labels(s, sf), _counted(s, sf), terms), terms)
     rows = full.groupBy("id").agg(F.count("*").alias("rows"), F.array_sort(F.collect_list(F.when(~F.col("found_in_label"), F.col("reaction")))).alias("novel_reactions"))
-    gaps = listed(_matched(_checked(cases)).where("NOT found_in_label"), "label_gaps")
+    gaps = _matched(_checked(analysis.cases(told, _labels(s, sf), _counted(s, sf)))).where("NOT found_in_label")
+    gaps = gaps.groupBy("id").agg(F.array_sort(F.collect_list("reaction")).alias("label_gaps"))
     none = F.array().cast("array<string>")
-    out = cases.select("id").join(scored, "id").join(rows, "id", "left").join(gaps, "id", "left")
+    out = scored.join(rows, "id", "left").join(gaps, "id", "left")
     made = F.struct("points", "verdict", F.coalesce("rows", F.lit(0).cast("long")).alias("rows"), F.coalesce("novel_reactions", none).alias("novel_reactions"), F.coalesce("label_gaps", none).alias("label_gaps"))
     return out.select("id", F.to_json(made).alias("document"))
 
