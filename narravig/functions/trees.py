@@ -20,6 +20,10 @@ def _bins(x: np.ndarray, most: int) -> list[np.ndarray]:
     return cuts
 
 
+#: Rows that an ensemble looks at together.
+TOGETHER = 4096
+
+
 def _codes(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
     """The bin of each value: how many cut points of its column lie below it."""
     return np.stack([np.searchsorted(c, x[:, j]) for j, c in enumerate(cuts)], 1)
@@ -108,9 +112,23 @@ class BoostedRegressor:
         return self
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), self.base)
-        for tree in self.steps:
-            out = out + self.rate * tree.predict(x)[:, 0]
+        """All trees go down together, a level at a time, for TOGETHER rows at once."""
+        if not self.steps:
+            return np.full(len(x), self.base)
+        wide = max(len(t.feature) for t in self.steps)
+        padded = lambda name, kind: np.array([[*getattr(t, name), *[0] * (wide - len(t.feature))] for t in self.steps], dtype=kind)
+        feature, cut, left, right = padded("feature", int), padded("cut", float), padded("left", int), padded("right", int)
+        value = np.array([[float(v[0]) for v in t.value] + [0.0] * (wide - len(t.value)) for t in self.steps])
+        trees, out = np.arange(len(self.steps)), np.empty(len(x))
+        for start in range(0, len(x), TOGETHER):
+            part = x[start : start + TOGETHER]
+            at = np.zeros((len(part), len(trees)), dtype=int)
+            rows = np.arange(len(part))[:, None]
+            for _ in range(self.depth):
+                asked = feature[trees, at]
+                below = np.where(part[rows, asked] <= cut[trees, at], left[trees, at], right[trees, at])
+                at = np.where(asked < 0, at, below)
+            out[start : start + TOGETHER] = self.base + self.rate * value[trees, at].sum(1)
         return out
 
 
