@@ -15,6 +15,7 @@ texts get equal bands; without labelled passages of two bands the fit fails with
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ CACHED = 200_000
 TOGETHER = 256
 STRAY = re.compile(r"<[^<>]{0,20}>|[​-‏⁠﻿­]|[^\x00-ɏ‐-…]")
 WORD = re.compile(r"[A-Za-z][A-Za-z'’-]*")
+GAP = re.compile(r"[^\S\n]+")
 SENTENCE = re.compile(r"(?<=[.!?])[\s\"'”)]+|\n+")
 #: Letters of other scripts, with the vowel signs of Indic ones and Thai; and what such texts are read by.
 OTHER = re.compile(r"[\u0370-\u1fff\u2c00-\u2dff\u3040-\ud7ff\uf900-\ufaff]")
@@ -49,17 +51,21 @@ VOWELS = re.compile(r"[aeiouy]+")
 
 def sentences(text: str) -> list[str]:
     """The sentences of a text; one with more letters of other scripts than Latin ones keeps them."""
-    other = len(OTHER.findall(text))
+    other = 0 if text.isascii() else len(OTHER.findall(text))
     if other and other > len(LATIN.findall(text)):
-        text = re.sub(r"[^\S\n]+", " ", MARKS.sub("", text))
+        text = GAP.sub(" ", MARKS.sub("", text))
         return [s for s in SENTENCE_OF_ANY.split(text) if ANY.search(s)]
-    text = re.sub(r"[^\S\n]+", " ", STRAY.sub("", text))
+    # most texts have nothing to be taken out, which is seen faster than looked for
+    if "<" in text or not text.isascii():
+        text = STRAY.sub("", text)
+    if "  " in text or not text.isascii() or any(c in text for c in "\t\r\v\f\x1c\x1d\x1e\x1f"):
+        text = GAP.sub(" ", text)
     return [s for s in SENTENCE.split(text) if WORD.search(s)]
 
 
 def words_of(sentence: str) -> list[str]:
     """Words; beside other scripts' letters all count, an ideograph pair or four Thai letters as a word, for want of spaces."""
-    return ANY.findall(sentence) if OTHER.search(sentence) else WORD.findall(sentence)
+    return WORD.findall(sentence) if sentence.isascii() or not OTHER.search(sentence) else ANY.findall(sentence)
 
 
 def _word(word: str) -> tuple[float, ...]:
@@ -121,7 +127,8 @@ def tables(texts: list[list[str]]) -> list[tuple[np.ndarray, list[set[int]]]]:
     if not numbers:
         return []
     sizes = np.array([len(n) for n in numbers])
-    sums = np.add.reduceat(words.rows[np.concatenate([np.array(n) for n in numbers])], np.cumsum([0, *sizes[:-1]]), axis=0)
+    flat = np.fromiter(chain.from_iterable(numbers), dtype=np.int64, count=int(sizes.sum()))
+    sums = np.add.reduceat(words.rows[flat], np.cumsum([0, *sizes[:-1]]), axis=0)
     extra = np.array([(s.count(","), sum(map(s.count, "0123456789"))) for parts in texts for s in parts])
     table = np.concatenate([sums / sizes[:, None], sizes[:, None], extra / sizes[:, None]], axis=1)
     low, out, at = words.low, [], 0
