@@ -176,6 +176,8 @@ def ends_here(text: str, end: int) -> re.Match | None:
 
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Where numbers begin: no form of a number or address begins elsewhere.
+RUN = re.compile(r"[+(]|\d+")
 #: First words of what the forms above begin with, and what they then may be.
 STARTS: dict[str, int] = {}
 for _bit, _words in (
@@ -233,8 +235,10 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
 
     # one look at every word tells which forms can occur, and where labels and cues may begin
     held, labels, cues, ats = 0, [], [], []
-    for m in WORD.finditer(text):
-        if bits := STARTS.get(m[0].lower()):
+    low = text.lower()
+    low = low if len(low) == len(text) else text
+    for m in WORD.finditer(low):
+        if bits := STARTS.get(m[0]):
             held |= bits
             if bits & LABEL:
                 labels.append(m.start())
@@ -247,17 +251,20 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
     for m in _at(EMAIL, text, sorted({_local(text, i) for i in signs})):
         if take(m.start(), m.end(), "EMAIL"):
             heads.append(m.start())
+    runs = [m.start() for m in RUN.finditer(text)]
     places = []
     for bit, form in ADDRESSES:
-        if bit == 0 or bit is GERMAN and GERMAN.search(text) or bit is not GERMAN and held & bit:
+        if bit == 0:
+            places += [m.span() for m in _at(form, text, runs)]
+        elif bit is GERMAN and GERMAN.search(text) or bit is not GERMAN and held & bit:
             places += [m.span() for m in form.finditer(text)]
     for a, b in sorted(places):
         take(a, b, "ADDRESS")
-    numbers = [(m.start(), *m.span("id")) for m in _at(ID, text, labels)] + [(m.start(), *m.span()) for m in SSN.finditer(text)]
+    numbers = [(m.start(), *m.span("id")) for m in _at(ID, text, labels)] + [(m.start(), *m.span()) for m in _at(SSN, text, runs)]
     for head, a, b in sorted(numbers):
         if take(a, b, "ID"):
             heads.append(head)
-    for m in PHONE.finditer(text):
+    for m in _at(PHONE, text, runs):
         take(m.start(), m.end(), "PHONE")
     # a name, a comma, and an e-mail address or a labelled number
     for a in heads:
