@@ -112,8 +112,12 @@ def counts(texts: DataFrame) -> DataFrame:
     sums = sums.select(both, "kind", "word", *"abcd").groupBy("lang", "kind", "word").agg(*(F.sum(c).alias(c) for c in "abcd"))
     # totals of each language as word '' (the sums of all words, rare ones too)
     totals = sums.groupBy("lang", "kind").agg(*(F.sum(c).alias(c) for c in "abcd")).withColumn("word", F.lit(""))
-    kept = sums.where(F.col("kind").isin("p", "c") & (F.col("a") >= SEEN) | (F.col("kind") == "s") & (F.col("a") + F.col("b") >= SEEN))
-    return kept.unionByName(totals)
+    # a pair counts only where its first word stands with a period more often than without
+    abbreviated = sums.where((F.col("kind") == "p") & (F.col("a") >= SEEN) & (F.col("a") > F.col("b"))).select("lang", F.col("word").alias("first"))
+    pairs = sums.where((F.col("kind") == "c") & (F.col("a") >= SEEN)).withColumn("first", F.substring_index("word", " ", 1))
+    pairs = pairs.join(abbreviated, ["lang", "first"], "left_semi").drop("first")
+    kept = sums.where((F.col("kind") == "p") & (F.col("a") >= SEEN) | (F.col("kind") == "s") & (F.col("a") + F.col("b") >= SEEN))
+    return kept.unionByName(pairs).unionByName(totals)
 
 
 def _ratio(k1: float, n1: float, k2: float, n2: float) -> float:

@@ -27,12 +27,39 @@ def test_pieces_cover_the_text_within_the_limit(text):
 
 def test_pieces_cut_at_sentences_and_cheapest():
     text = "".join(f"Sentence number {i} is here. " for i in range(60))
-    at, penalty = chunking.boundaries(text, 40)
+    at, penalty = chunking.boundaries(text, 6)
     inner = [b for _, b in chunking.cuts(text, 300, 30)][:-1]
     assert all(text[b - 2 : b] == ". " for b in inner)
     assert set(inner) <= set(at.tolist()) and penalty[0] == 0
 
 
+@pytest.mark.parametrize("overlap", [0, 20, 45])
+def test_pieces_are_the_cheapest_over_all_boundaries(overlap):
+    rng = random.Random(overlap)
+    for _ in range(6):
+        text = "".join(rng.choice(["ab ", "cdef ", "gh, ", "ij. ", "k\n", "lm\n\n", "n" * 30]) for _ in range(70))
+        most = 100
+        at, penalty = chunking.boundaries(text, most // 50)
+
+        def start(j):
+            near = [(penalty[i] + 20 * abs(at[i] - (at[j] - overlap)) / overlap, i) for i in range(j) if at[j] - overlap * 1.25 <= at[i] <= at[j] - overlap * 0.75] if overlap and j else []
+            return at[min(near)[1]] if near else at[j] if not overlap or not j else max(0, at[j] - overlap)
+
+        starts = [start(j) for j in range(len(at))]
+        pieces = max(2, -(-(len(text) - overlap) // (most - overlap)))
+        target = overlap + (len(text) - overlap) / pieces
+        cost = [0.0] + [np.inf] * (len(at) - 1)
+        for j in range(1, len(at)):
+            for i in range(j):
+                size = at[j] - starts[i]
+                if size <= most and at[j] - at[i] >= most // 8:
+                    cost[j] = min(cost[j], cost[i] + chunking.IMBALANCE * ((size - target) / target) ** 2 + penalty[j])
+        place = {int(p): k for k, p in enumerate(at)}
+        got = chunking.cuts(text, most, overlap)
+        spent = sum(chunking.IMBALANCE * ((b - a - target) / target) ** 2 + penalty[place[b]] for a, b in got)
+        assert spent == pytest.approx(cost[-1])
+
+
 def test_pieces_query_shape(spark):
     rows = [("n", 1, 0, "a b " * 20), ("n", 1, 0, "a b " * 20), ("n", 2, 0, None), ("n", 3, 0, ""), ("n", 4, 0, "x" * 50), ("other", 5, 0, "x" * 99)]
     df = spark.createDataFrame(rows, "field string, item_id long, pos int, text string").withColumns({"piece": F.lit(1), "start_at": F.lit(2)})
@@ -70,6 +97,16 @@ def test_ids_equal_the_rank_rule_and_decode(encoder, reference):
         assert encoder.decode(ids) == text
 
 
+def test_the_automaton_finds_the_longest_token_at_each_place(encoder):
+    text = "".join(random.Random(1).choice(["the", " the", "ing", "zq", "aaaa", "\xc3", "\xa9", "  "]) for _ in range(60))
+    want = [max((k for k in range(1, encoder_longest(encoder) + 1) if text[i : i + k] in encoder.ids and i + k <= len(text)), default=0) for i in range(len(text))]
+    assert [encoder.length[n] for n in encoder.longest(text)] == want
+
+
+def encoder_longest(encoder):
+    return max(encoder.length)
+
+
 def test_ids_of_rows(spark):
     df = spark.createDataFrame([(1, "hi there"), (2, ""), (3, None), (4, "hi there")], "doc_id long, text string").withColumn("ids", F.lit("clash"))
     got = {r.doc_id: r.ids for r in tokens.encode(df, "doc_id", "text").collect()}
@@ -100,12 +137,30 @@ def test_packing_is_optimal_on_small_sets():
     rng = random.Random(5)
     for _ in range(60):
         sizes = [rng.randint(5, 60) for _ in range(9)]
-        bins = packing.pack(sizes, 100)
+        bins = [b for b, _ in packing.pack(sizes, 100)[0]]
         assert sorted(i for b in bins for i in b) == list(range(9))
         assert all(sum(sizes[i] for i in b) <= 100 for b in bins)
         assert len(bins) == optimum(sizes, 100) >= packing.lower_bound(sizes, 100)
 
 
+def test_fillings_come_from_the_search_and_beat_best_fit():
+    rng, better = random.Random(6), 0
+    for _ in range(40):
+        sizes = [rng.randint(20, 45) for _ in range(24)]
+        bins, steps = packing.pack(sizes, 100)
+        fitted = packing.best_fit(sizes, 100)
+        assert len(bins) <= len(fitted) and steps > 0
+        better += len(bins) < len(fitted)
+    assert better
+    large = [rng.randint(1, 400) for _ in range(5000)]
+    bins, _ = packing.pack(large, 1000)
+    assert len(bins) == packing.lower_bound(large, 1000) and all(n > 0 for _, n in bins)
+    # a filling is left out if its items fit into those of another
+    assert packing.fits_inside((3, 2, 2), (5, 4)) and not packing.fits_inside((5, 4), (3, 3, 3))
+    kept, _ = packing.fillings([2, 3, 5], [2, 1, 1], 5, 5)
+    assert kept == [(5,)]
+
+
 def test_containers_of_rows(spark):
     rows = [(i, i % 37 + 1) for i in range(500)] + [(900, 250), (900, 250), (901, 0), (902, None), (903, -4), (904, 100)]
     df = spark.createDataFrame(rows, "doc_id long, n long").withColumns({"id": F.lit("clash"), "size": F.lit("clash")})
@@ -145,13 +200,18 @@ def test_pigeonhole_join_equals_brute_force(spark):
                 t[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "e"])
             typed.add("".join(t) or "a")
     refs = canon.references(spark.createDataFrame([("l", w) for w in words], "list string, canonical string"))
-    values = spark.createDataFrame([("l", t, t) for t in sorted(typed)], "list string, value string, typed string")
-    got = {r.value: r.canonical for r in canon._near(values, refs).collect()}
+    near = canon._near(spark.createDataFrame([("l", t) for t in sorted(typed)], "list string, typed string"), refs).collect()
+    got = {t: {r.canonical: r.edits for r in near if r.typed == t} for t in typed}
     bound = lambda n: 1 if n <= 5 else 2 if n <= 7 else 3 if n <= 10 else 4
     for t in typed:
-        near = sorted({(levenshtein(t, w), w) for w in words if levenshtein(t, w) <= bound(len(w))})
-        want = None if not near or len(near) > 1 and near[0][0] == near[1][0] else near[0][1]
-        assert got.get(t) == want, (t, near[:2])
+        assert got[t] == {w: levenshtein(t, w) for w in words if levenshtein(t, w) <= bound(len(w))}
+
+
+def test_every_value_goes_through_the_join(spark):
+    entries = spark.createDataFrame([("reaction", "dry mouth"), ("reaction", "mouth dry skin"), ("reaction", "x")], "list string, canonical string")
+    values = spark.createDataFrame([("reaction", t) for t in ("mouth dry", "dry mouht", "mouth dry s", "x", "qqqqqq")], "list string, value string")
+    got = {r.value: r.canonical for r in canon.known_values(values, entries).collect()}
+    assert got == {"mouth dry": "dry mouth", "dry mouht": "dry mouth", "mouth dry s": "mouth dry skin", "x": "x"}
 
 
 def test_typed_values(spark):
@@ -195,23 +255,60 @@ def test_pseudonyms_are_permutations_that_keep_the_format():
     key = b"k" * 32
     seen = {pii.permute_digits(f"{i:03d}", key, "ID") for i in range(1000)}
     assert len(seen) == 1000
-    for text, kind in (("737 848 829", "ID"), ("+1 808 555 0162", "PHONE"), ("80-1621-Y", "ID")):
+    for text, kind in (("737 848 829", "ID"), ("+1 808 555 0162", "PHONE"), ("80-1621-Y", "ID"), ("943 476 5919", "ID"), ("12345678Z", "ID"), ("666-31-3644", "ID")):
         new = pii.permute_number(text, key, kind)
         assert [c if not c.isdigit() else "9" for c in new] == [c if not c.isdigit() else "9" for c in text]
         assert pii.permute_number(new, key, kind, back=True) == text
+        assert pii.checked(new, kind) == pii.checked(text, kind)
+    checks = [pii.checked(t, k) for t, k in (("943 476 5919", "ID"), ("943 476 5918", "ID"), ("12345678Z", "ID"), ("666-31-3644", "ID"), ("665-31-3644", "ID"), ("(808) 555-0150", "PHONE"))]
+    assert checks == ["mod11", None, "mod23", None, "ssn", "dialled"]
     days = [dt.date(1999, 12, 31) + dt.timedelta(days=i) for i in range(300)]
     new = [pii.permute_date(d, key) for d in days]
     assert len(set(new)) == 300 and [pii.permute_date(d, key, back=True) for d in new] == days
 
 
+DATES = (
+    "01/31/2024", "31/01/2024", "01-31-2024", "31.01.2024", "2024-01-31", "January 31, 2024", "Jan 31 2024", "31 January 2024", "31. Januar 2024", "le 31 janvier 2024",
+    "31 de enero de 2024", "11/12/80", "January 2024", "01/2024", "born in 1980", "29/02/2023",
+)
+
+
+@pytest.mark.parametrize("text", DATES)
+def test_no_form_of_a_date_stays(text):
+    key = b"k" * 32
+    new = pii.redact(f"Seen {text}.", key)
+    assert "[DATE " in new and text.split()[-1] not in new
+    if text != "29/02/2023":
+        # a month may come back in another language that spells the new one alike
+        assert pii.restore(new, key).replace("January", "Januar") == f"Seen {text}.".replace("January", "Januar")
+
+
+def test_dates_keep_days_apart_and_other_numbers_stay():
+    key = b"k" * 32
+    for form in ("%d/%m/%Y", "%d.%m.%y", "%B %d, %Y"):
+        days = [(dt.date(1990, 1, 1) + dt.timedelta(days=31 * i)).strftime(form) for i in range(200)]
+        new = [pii.redact(d, key) for d in days]
+        assert len(set(new)) == len(set(days)) and [pii.restore(n, key) for n in new] == days
+    for text in ("BP 98/60", "pump 2.6.11.8", "dose log 48-39-14", "ref 55597-0932-29"):
+        assert pii.redact(text, key) == text
+
+
 def test_redaction_links_equal_values(spark):
-    rows = [(1, "MRN: 737848829 on 2020-02-03."), (2, "Chart No 737848829, born 03.02.2020"), (3, None), (4, ""), (1, "MRN: 737848829 on 2020-02-03.")]
+    rows = [(1, "MRN: 737848829 on 2020-02-03."), (2, "Chart No 737 848 829, born 03.02.2020"), (3, None), (4, ""), (1, "MRN: 737848829 on 2020-02-03.")]
     df = spark.createDataFrame(rows, "narrative_id long, narrative string").withColumn("kind", F.lit(1))
     got = {r.narrative_id: r.narrative for r in pii.redacted(df, "narrative_id", "narrative", "s").collect()}
-    assert got[3] is None and got[4] == "" and got[1].split("]")[0] == got[2].replace("Chart No", "MRN:").split("]")[0]
-    assert "[DATE " in got[1] and "737848829" not in got[1] + got[2]
-    assert pii.found(df.limit(0), "narrative_id", "narrative").count() == 0
+    assert got[3] is None and got[4] == "" and "[DATE " in got[1] and "737848829" not in got[1]
+    new = [got[k].split("]")[0].split("[ID ")[1] for k in (1, 2)]
+    assert new[0] == new[1].replace(" ", "") and new[1].count(" ") == 2
+    key = pii._key("s")
+    assert {k: pii.restore(t, key) if t else t for k, t in got.items()} == {r[0]: r[1] for r in rows}
+    links = pii.found(df, "narrative_id", "narrative", "s").collect()
+    assert sorted((r.narrative_id, r.kind, r.checked, r.pseudonym) for r in links) == [(1, "ID", "ssn", new[0]), (2, "ID", "ssn", new[1])]
+    assert pii.found(df.limit(0), "narrative_id", "narrative", "s").count() == 0
     assert len(pii.mentions("Dr. Ann Lee called. " * 5000)) == 5000
+    with pytest.raises(ValueError):
+        pii.redacted(df, "narrative_id", "narrative", "")
+    assert len(pii.tag("Ann Lee", key)) == 20
 
 
 # sentences
@@ -248,6 +345,27 @@ def test_sentences(learned, lang, text, expected):
     assert got == expected
 
 
+def test_collocations_alone_decide():
+    before = {"": (1000, 5000, 100, 0), "suppl": (20, 12, 0, 0)}
+    after = {"": (300, 5000, 0, 0), "tabelle": (0, 20, 0, 0)}
+    text = "Siehe Suppl. Tabelle dort."
+    assert sentences.starts(text, sentences.Language(before, after), "de") == [0, 13]
+    assert sentences.starts(text, sentences.Language(before, after, {"suppl tabelle": (15, 0, 0, 0)}), "de") == [0]
+    # by chance, or with a word that starts sentences, they don't
+    assert sentences.starts(text, sentences.Language(before, after | {"tabelle": (0, 3000, 0, 0)}, {"suppl tabelle": (9, 0, 0, 0)}), "de") == [0, 13]
+    assert sentences.starts(text, sentences.Language(before, after | {"tabelle": (90, 20, 0, 0)}, {"suppl tabelle": (15, 0, 0, 0)}), "de") == [0, 13]
+
+
+def test_pairs_are_counted_and_words_may_be_long(spark):
+    texts = [("en", "See vol. Orvik now. He left now it is.")] * 4
+    got = {r.word: r.a for r in sentences.counts(spark.createDataFrame(texts, "lang string, text string")).where("kind = 'c' AND lang = 'en' AND word <> ''").collect()}
+    # "now" stands without a period as often
+    assert got == {"vol orvik": 4}
+    long = "Q" + "x" * 90
+    assert sentences.starts(f"Seen {long}. Ends.", sentences.Language({"": (9, 9, 9, 0), long.lower(): (5, 0, 0, 5)}, {}), "en") == [0]
+    assert len(sentences.starts("a.a" * 30_000, sentences.NOTHING, "en")) == 1
+
+
 def test_sentence_rows(spark, learned):
     rows = [(1, "f", "en", "One. Two."), (1, "f", "en", "One. Two."), (2, "f", "en", None), (3, "f", None, "  "), (4, "f", "en", "x" * 200_000)]
     df = spark.createDataFrame(rows, "item_id long, field string, lang string, text string").withColumn("start_at", F.lit("clash"))
@@ -258,10 +376,16 @@ def test_sentence_rows(spark, learned):
     assert sentences.split(df.limit(0), known).count() == 0
 
 
-def test_counts_beyond_the_broadcast_are_read_by_language(spark, monkeypatch):
+def test_counts_beyond_the_broadcast_are_read_for_each_batch(spark, learned, monkeypatch):
     monkeypatch.setattr(sentences, "BROADCAST_WORDS", 0)
     known = sentences.learn(spark.createDataFrame(CORPUS * 12, "lang string, text string"))()
-    assert known.rows is None and known.of("en").abbreviation("dr") and not known.of("de").before.get("orvik")
+    assert known.rows is None
+    # what a batch needs is read for it, and decides alike
+    text = "Dr. Orvik slept. He took approx. 5 mg (p.o.) daily. Watch it."
+    known.ahead([("en", text), ("de", "Der 3. Fall."), (None, None)])
+    assert known.of("en").abbreviation("dr") and not known.of("de").before.get("orvik")
+    assert sentences.starts(text, known.of("en"), "en") == sentences.starts(text, learned.of("en"), "en")
+    assert sum(map(len, (known.of("en").before, known.of("en").after))) < sum(map(len, (learned.of("en").before, learned.of("en").after)))
 
 
 # reading level
@@ -283,6 +407,14 @@ def test_levels(spark):
     assert np.isnan(model.score([None])[0])
 
 
+def test_a_text_is_scored_once(spark):
+    samples = [(i, "The cat sat down. You can rest." if b == 1 else "Pharmacokinetic investigations demonstrated considerable hepatotoxicity.", b) for i, b in enumerate([1, 3] * 6)]
+    model = readability.fit(spark.createDataFrame(samples, "sample_id long, text string, band int"))
+    df = spark.createDataFrame([(1, "The cat sat.")], "doc_id long, text string")
+    plan = readability.levels(df, "doc_id", "text", model).where("band IS NOT NULL").distinct()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("ArrowEvalPython") == 1
+
+
 def test_every_script_has_a_level(spark, tmp_path):
     from narravig.llm import queries
 
