@@ -423,10 +423,11 @@ def summary_cards(s, sf):
 
 
 def engine_routes(s, sf):
-    """The provider that each request goes to, and the error of one that isn't available; without a client none is."""
+    """The provider that each request goes to, and its error; without a client in the session's settings none is available."""
     rows = read(s, sf, "narratives", "narrative_id", "engine", "narrative").distinct()
     routed = providers.route(analysis.validated(rows)[0], "engine")
-    parts = [run(providers.Provider(None), routed.where(F.col("provider") == name), "narrative_id", "narrative").select("narrative_id", F.lit(name).alias("provider"), "error") for name, run in providers.ROUTES.items()]
+    known = providers.configured(s)
+    parts = [run(known[name], routed.where(F.col("provider") == name), "narrative_id", "narrative").select("narrative_id", F.lit(name).alias("provider"), "error") for name, run in providers.ROUTES.items()]
     return parts[0].unionByName(parts[1])
 
 

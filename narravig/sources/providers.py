@@ -5,10 +5,11 @@ A provider only ever sees redacted text. Its answers are rows; failures become r
 
 from __future__ import annotations
 
+import importlib
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narravig.functions.arrowmap import flat_map
@@ -81,3 +82,18 @@ def route(df: DataFrame, engine: str) -> DataFrame:
 
 #: What runs each provider that ``route`` names.
 ROUTES = {"entities": entities, "extractions": extractions}
+#: Setting that names the client of a provider as ``module:function``; the function must be importable on the executors.
+CLIENT_CONF = "spark.narravig.client."
+
+
+def configured(spark: SparkSession) -> dict[str, Provider]:
+    """The providers by the session's settings; one without a client isn't available. A client that can't be imported is an error."""
+    out = {}
+    for name, chars in (("entities", NER_CHARS), ("extractions", None)):
+        where = spark.conf.get(f"{CLIENT_CONF}{name}", None)
+        client = None
+        if where:
+            module, _, function = where.partition(":")
+            client = getattr(importlib.import_module(module), function)
+        out[name] = Provider(client, chars)
+    return out

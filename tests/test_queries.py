@@ -58,6 +58,18 @@ def test_providers_see_redacted_text_only(spark):
     assert [r.provider for r in providers.route(routed, "engine").collect()] == ["entities", "extractions"]
 
 
+def test_clients_come_from_the_settings(spark):
+    assert not any(p.available() for p in providers.configured(spark).values())
+    spark.conf.set(f"{providers.CLIENT_CONF}extractions", "builtins:str")
+    try:
+        known = providers.configured(spark)
+        assert known["extractions"].available() and not known["entities"].available()
+        df = spark.createDataFrame([(1, "no json")], "id long, t string")
+        assert providers.extractions(known["extractions"], df, "id", "t").first().error == "malformed answer"
+    finally:
+        spark.conf.unset(f"{providers.CLIENT_CONF}extractions")
+
+
 def test_stream_counts_reactions_once(spark, tmp_path):
     rows = [(1, "Aspirin gave him a rash.", "2024-01-02"), (1, "Aspirin gave him a rash.", "2024-01-02"), (2, None, "2024-01-03")]
     df = spark.createDataFrame(rows, "narrative_id long, narrative string, at string")
