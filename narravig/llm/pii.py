@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
-import hmac
 import re
 from collections.abc import Iterator
 
@@ -307,7 +306,7 @@ def _name(text: str, m: re.Match) -> tuple[int, int] | None:
 
 
 def _round(key: bytes, n: int, tweak: str, value: int) -> int:
-    return int.from_bytes(hmac.digest(key, f"{n}|{tweak}|{value}".encode(), "sha256")[:12], "big")
+    return int.from_bytes(hashlib.blake2b(f"{n}|{tweak}|{value}".encode(), digest_size=12, key=key).digest(), "big")
 
 
 def permute(value: int, size: tuple[int, int], key: bytes, tweak: str, back: bool = False) -> int:
@@ -363,7 +362,8 @@ def checked(text: str, kind: str) -> str | None:
     m = COUNTRY.match(text) if kind == "PHONE" else None
     body = text[m.end() :] if m else text
     letter = "".join(c for c in body if c.isalpha())
-    return next((name for name, test in CHECKS[kind] if test(_digits(body), letter)), None)
+    digits = _digits(body)
+    return next((name for name, test in CHECKS[kind] if test(digits, letter)), None)
 
 
 def permute_number(text: str, key: bytes, kind: str, back: bool = False) -> str:
@@ -493,7 +493,7 @@ def new_date(m: re.Match, key: bytes, back: bool = False) -> str | None:
 def tag(text: str, key: bytes) -> str:
     """A keyed tag of 80 bits; equal for texts that differ in case, spaces and the order of words only."""
     folded = " ".join(sorted(re.findall(r"\w+", text.lower())))
-    return hmac.digest(key, folded.encode(), "sha256")[:10].hex()
+    return hashlib.blake2b(folded.encode(), digest_size=10, key=key).hexdigest()
 
 
 def pseudonym(value: str, kind: str, key: bytes) -> str:
