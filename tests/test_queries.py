@@ -137,6 +137,27 @@ def test_nested_tables_hold_every_scalar(spark, tmp_path):
     assert [json.loads(f)["outcome"] for p, f in got("p2_extracted", "node_path", "fields") if p == "reactions[0]"] == ["resolved"]
 
 
+def test_of_several_units_in_notes_the_classifier_chooses(spark, tmp_path):
+    kind = "narrative_id long, extraction struct<drugs:array<struct<name:string,dose:string,route:string,indication:string>>,notes:string>"
+    stated = [(i, ([("d", f"{100 + i % 50} mg", None, None), ("e", f"{1 + i % 3} g", None, None)], None)) for i in range(200)]
+    several = "Doses in mg, for some drugs in g"
+    asked = [
+        (900, ([("d", "125", None, None), ("e", "2 BID", None, None)], several)),  # chosen
+        (901, ([("d", "125", None, None)], "Doses in ng or kg")),  # units that no labelled dose has
+        (902, ([("d", "125", None, None)], None)),  # no unit is written down
+        (903, ([("e", "2", None, None)], "Dose unit: mg")),  # one unit: not the classifier's affair
+        (904, ([("d", "1e350", None, None)], several)),  # no magnitude of a dose
+        (905, ([("d", "125", None, None)], "Doses in ㎎ (or grams)")),
+    ]
+    spark.createDataFrame(stated + asked + asked, kind).write.parquet(f"{tmp_path}/ai_extractions.parquet")
+    spark.createDataFrame([(i, "x") for i in range(200)], "narrative_id long, engine string").write.parquet(f"{tmp_path}/narratives.parquet")
+    known = __spark_entry__.queries()
+    found = known["p6_found"](spark, str(tmp_path)).where("narrative_id >= 900").collect()
+    assert sorted(map(tuple, found)) == [(900, 0, 125_000), (900, 1, 2_000_000), (903, 0, 2000), (905, 0, 125_000)]
+    doses = {(r.narrative_id, r.drug_pos): r.unit_source for r in known["p6_doses"](spark, str(tmp_path)).where("narrative_id >= 900").collect()}
+    assert [doses[900, 0], doses[900, 1], doses[901, 0], doses[903, 0], doses[904, 0], doses[905, 0]] == ["chosen", "chosen", "review", "notes", "review", "chosen"]
+
+
 def test_texts_as_stored(spark, tmp_path):
     known = __spark_entry__.queries()
     thai, hindi = "ยานี้อาจทำให้เกิดอาการปวดศีรษะได้", "यह दवा  सिरदर्द का कारण बन सकती है"
